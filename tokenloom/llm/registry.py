@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from tokenloom.llm import queries_basic as basic
+from tokenloom.llm import queries_models as models
 
 QUERIES = {
+    "op3_quality_classifier": models.op3_quality_classifier,
+    "op4_language_id": models.op4_language_id,
     "op5_chat_formatting": basic.op5_chat_formatting,
+    "op6_document_fingerprints": models.op6_document_fingerprints,
     "op7_bpe_round_trip": basic.op7_bpe_round_trip,
     "op8_secret_scans": basic.op8_secret_scans,
     "op10_source_mixing": basic.op10_source_mixing,
+    "language_id_pages": models.language_id_pages,
 }
 ORACLES = {"op5_chat_formatting": basic.OP5_SQL, "op8_secret_scans": basic.OP8_SQL, "op10_source_mixing": basic.OP10_SQL}
