@@ -47,10 +47,10 @@ def lexicon(texts: DataFrame, n_documents: int, least_share: float = LEAST_SHARE
 def hashes(kept: Column, everything: Column) -> Column:
     """array<int> of SUBSETS hashes from the sorted distinct (term, subsets); 0: no term in that subset."""
     own = lambda terms: (F.xxhash64(terms).bitwiseAND(F.lit(0x7FFFFFFF))).cast("int")
+    inside_of = lambda bit: F.transform(F.filter(kept, lambda x: x["subsets"].bitwiseAND(bit) != 0), lambda x: x["term"])
     out = []
     for j in range(SUBSETS):
-        bit = F.lit(1 << j).cast("long")
-        inside = F.transform(F.filter(kept, lambda x, bit=bit: x["subsets"].bitwiseAND(bit) != 0), lambda x: x["term"])
+        inside = inside_of(F.lit(1 << j).cast("long"))
         none = F.when(F.size(kept) == 0, everything) if j == 0 else F.lit(None).cast("int")
         out.append(F.coalesce(F.when(F.size(inside) > 0, own(inside)), none, F.lit(0)))
     return F.array(*out)
@@ -87,7 +87,8 @@ def successors(keys: DataFrame, scratch: Scratch) -> DataFrame:
 
 def fingerprint_texts(texts: DataFrame, columns: list[str], words: DataFrame, carry: list[str]) -> DataFrame:
     """KEY, carry and, for each text column c, fp_c: the hashes of its subsets. texts are rows of distinct KEY."""
-    terms = F.concat(*(F.transform(F.concat(F.col(f"_t_{c}"), F.array(F.lit(MARK).cast("long"))), lambda t, i=i: F.struct(F.lit(i).alias("which"), t.alias("term"))) for i, c in enumerate(columns)))
+    marked = lambda c, i: F.transform(F.concat(F.col(f"_t_{c}"), F.array(F.lit(MARK).cast("long"))), lambda t: F.struct(F.lit(i).alias("which"), t.alias("term")))
+    terms = F.concat(*(marked(c, i) for i, c in enumerate(columns)))
     d = texts.withColumns({f"_t_{c}": term_hashes(F.col(c)) for c in columns})
     d = d.withColumns({f"_all_{c}": (F.xxhash64(F.array_sort(f"_t_{c}")).bitwiseAND(F.lit(0x7FFFFFFF))).cast("int") for c in columns})
     d = d.select(*KEY, *carry, *(f"_all_{c}" for c in columns), F.explode(terms).alias("x")).select("*", "x.which", "x.term").drop("x")
