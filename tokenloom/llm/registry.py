@@ -7,6 +7,7 @@ from tokenloom.llm import queries_models as models
 from tokenloom.llm import queries_pairs as pairs
 
 QUERIES = {
+    "op1_suffix_array_dedup": pairs.op1_suffix_array_dedup,
     "op2_minhash_near_dedup": pairs.op2_minhash_near_dedup,
     "op3_quality_classifier": models.op3_quality_classifier,
     "op4_language_id": models.op4_language_id,
