@@ -5,8 +5,8 @@ element offers j + u to one slot. A slot keeps the least offer. Offers of step j
 largest slot is below j + 1: after two or three steps for most texts. Here all elements of many texts take each step together.
 
 Texts with equal sets are one class. BANDS x ROWS slots make the chance to miss a pair at the threshold about 5e-8. Classes that
-share a band are verified against the least class of that band first; pairs of a band that are still in different components
-after that are all verified, if their sizes allow the threshold at all.
+share a band are verified against that class of the band first which most others share bands with. Pairs that share a band and are
+still in different components after that are all verified, unless their sizes rule the threshold out, in blocks.
 
 Defined cases: null or empty text and text without words have the empty set, which links with nothing; a text with fewer than
 ``words`` words has the sequence of them as its only shingle; equal rows and rows of one doc_id are all returned; a null doc_id
@@ -24,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.components import components
+from tokenloom.llm.components import UnionFind, components
 from tokenloom.llm.scratch import Scratch
 
 WORDS, THRESHOLD = 5, (80, 100)
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 BLOCK_BYTES, BLOCK_SETS = 1 << 20, 1 << 15
+UNIT_SETS = 512
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD, _ODD_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTES = np.frombuffer(b"".join(hashlib.blake2b(bytes([b]), digest_size=8).digest() for b in range(256)), "<u8").astype(np.uint64)
@@ -73,7 +74,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
         elif b > a:
             whole = np.uint64(b - a)
             for x in h[a:b]:
-                whole = mix64(np.array([whole + x], np.uint64))[0]
+                whole = mix64(np.array([(int(whole) + int(x)) % 2**64], np.uint64))[0]
             out.append(np.array([whole], np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -179,13 +180,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return pairs.join(t("u"), "u").join(t("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(work, "u binary, v binary")
 
 
-def _between(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The pairs whose classes are in different components so far."""
-    if found is None:
-        return pairs
-    root = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    out = pairs.join(root("u"), "u", "left").join(root("v"), "v", "left")
-    return out.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select(*pairs.columns)
+def _across(crowded: DataFrame, found: DataFrame, classes: DataFrame, texts: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """Links between classes that share a band and are in different components so far: enough of them to connect what they connect.
+
+    The classes of bands with several components are parted by what those bands connect; such a part is joined in blocks of
+    UNIT_SETS classes, one work unit for each pair of blocks. Pairs are never rows: a unit returns the links that it found.
+    """
+    c = crowded.join(found.withColumnsRenamed({"node": "class", "root": "c"}), "class", "left").select("band", "class", F.coalesce("c", "class").alias("c"))
+    mixed = c.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("class").alias("v")).where("lo <> hi").select("band", "v")
+    c = scratch.cut(c.join(mixed, "band"))
+    part = components(c.select(F.col("class").alias("u"), "v"), scratch).withColumnsRenamed({"node": "class", "root": "part"})
+    c = c.select("class", "c").distinct().join(part, "class", "left").withColumn("part", F.coalesce("part", "class"))
+    blocks = c.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / UNIT_SETS).cast("int").alias("blocks"))
+    c = c.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    c = c.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    c = c.select("part", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), F.col("block").alias("own"), "class", "c")
+    c = c.join(classes.select("class", "bands"), "class").join(texts.select("class", "text"), "class")
+
+    def work(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        name, comp, own, a, b = (t.column(x).to_pylist() for x in ("class", "c", "own", "a", "b"))
+        itself, u, v, sets = a[0] == b[0], [], [], UnionFind()
+        if itself or len(set(own)) > 1:
+            bands = np.array(t.column("bands").to_pylist(), np.int64)
+            shingles = [shingle_sets([x.encode()], words)[0] for x in t.column("text").to_pylist()]
+            n, rows, left = np.array([len(x) for x in shingles]), np.arange(len(name)), np.array(own) == a[0]
+            ids = {x: i for i, x in enumerate(sorted(set(comp)))}
+            label = np.array([ids[x] for x in comp])
+            part, whole = THRESHOLD
+            for i in np.flatnonzero(left).tolist():
+                may = (label != label[i]) & (np.minimum(n, n[i]) * whole >= np.maximum(n, n[i]) * part) & ((rows > i) if itself else ~left)
+                may[may] = (bands[may] == bands[i]).any(1)
+                for j in np.flatnonzero(may).tolist():
+                    if sets.find(int(label[i])) != sets.find(int(label[j])):
+                        both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+                        if whole * both >= part * (n[i] + n[j] - both):
+                            sets.union(int(label[i]), int(label[j]))
+                            u.append(name[i])
+                            v.append(name[j])
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    return c.groupBy("part", "a", "b").applyInArrow(work, "u binary, v binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -195,23 +230,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = scratch.cut(classes)
     members = classes.select("class", "n", F.explode("bands").alias("band"))
-    first = members.groupBy("band").agg(F.min("class").alias("v"), F.max("class").alias("other")).where("v <> other").select("band", "v")
-    crowded = scratch.cut(members.join(first, "band"))  # members of bands with more than one class
-    star = scratch.cut(crowded.where("class <> v").groupBy(F.col("class").alias("u"), "v").agg(F.first("n").alias("n")).join(classes.select(F.col("class").alias("v"), F.col("n").alias("n_v")), "v").where(_may_link("n", "n_v")).select("u", "v"))
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    crowded = scratch.cut(members.join(sizes, "band"))
+    known = crowded.groupBy("class").agg(F.sum("many").alias("known"))  # in how many others' bands it is: most for an original
+    crowded = scratch.cut(crowded.drop("many").join(known, "class"))
+    centre = crowded.groupBy("band").agg(F.max(F.struct("known", "class", "n")).alias("top")).select("band", F.col("top.class").alias("v"), F.col("top.n").alias("n_v"))
+    star = crowded.join(centre, "band").where(F.col("class") != F.col("v")).where(_may_link("n", "n_v")).select(F.col("class").alias("u"), "v")
+    star = scratch.cut(star.distinct())
     ids = classes.join(crowded.select("class").distinct(), "class", "left_semi").select(F.col("least_id").alias("doc_id"), "class")
     texts = scratch.cut(docs.select("doc_id", "text").join(ids, "doc_id").join(rows.where("class is not null").select("doc_id", "class"), ["doc_id", "class"], "left_semi").dropDuplicates(["class"]))
-    links = found = None
-    near = star.groupBy("u").agg(F.min("v").alias("v"))
-    for pairs in (near, star, None):
-        if pairs is None:
-            comp = crowded.join(found.withColumnsRenamed({"node": "class", "root": "c"}), "class", "left").select("band", "class", "n", F.coalesce("c", "class").alias("c"))
-            comp = scratch.cut(comp.join(comp.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band"), "band", "left_semi"))
-            a, b = (comp.select("band", F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "uv")
-            pairs = a.join(b, "band").where("c_u > c_v").where(_may_link("n_u", "n_v")).select("u", "v").distinct()
-            pairs = pairs.join(star, ["u", "v"], "left_anti").join(star.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-        more = scratch.cut(_verified(_between(pairs, found), texts, words))
-        links = more if links is None else links.unionByName(more)
-        found = components(links, scratch)
+    links = scratch.cut(_verified(star, texts, words))
+    found = components(links, scratch)
+    links = links.unionByName(scratch.cut(_across(crowded, found, classes, texts, words, scratch)))
+    found = components(links, scratch)
     least = found.join(classes.select(F.col("class").alias("node"), "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("least_id"))
     least = least.join(classes.select(F.col("class").alias("root"), F.col("least_id").alias("own")), "root").select("root", F.least("own", "least_id").alias("component"))
     named = found.join(least, "root").select(F.col("node").alias("class"), "component").unionByName(least.select(F.col("root").alias("class"), "component"))
