@@ -80,6 +80,7 @@ class Kernel:
     def __init__(self, ranks: dict[bytes, int], pattern: str, memo_entries: int = MEMO_ENTRIES):
         self.ranks, self.pattern, self.memo_entries = ranks, pattern, memo_entries
         self.memo: dict[str, bytes | None] = {}
+        self.sizes: dict[str, tuple[int, int]] = {}
 
     def piece_ids(self, text: str) -> list[list[int]]:
         return [merge(as_bytes(p), self.ranks) for p in split(text, self.pattern)]
@@ -112,10 +113,17 @@ class Kernel:
         """(exclusive end of each piece in bytes, its number of tokens)."""
         ends, counts, at = [], [], 0
         for p in split(text, self.pattern):
-            raw = as_bytes(p)
-            at += len(raw)
+            size = self.sizes.get(p)
+            if size is None:
+                raw = as_bytes(p)
+                size = len(raw), len(merge(raw, self.ranks))
+                if len(p) <= MEMO_PIECE:
+                    if len(self.sizes) >= MEMO_ENTRIES:
+                        self.sizes.clear()
+                    self.sizes[p] = size
+            at += size[0]
             ends.append(at)
-            counts.append(len(merge(raw, self.ranks)))
+            counts.append(size[1])
         return ends, counts
 
 
