@@ -1,9 +1,9 @@
 """Document fingerprints after I-Match: terms within a band of inverse document frequency, sorted and distinct, are hashed for
 several randomised subsets of the lexicon.
 
-Subset j of SUBSETS keeps a term of the lexicon with probability 2**-(j mod LEVELS), drawn from the term's hash, so documents of
-any length find subsets in which they have few terms; an edit then leaves some of the hashes as they are. The likeness of two
-fingerprints is the share of equal hashes among the subsets in which either has terms.
+The first subset is the whole lexicon. Each of FAMILIES halves it LEVELS times by bits of its own of the term's hash, so
+documents of any length find subsets in which they have few terms; an edit then leaves some of the hashes as they are. The likeness
+of two fingerprints is the share of equal hashes among the subsets in which either has terms.
 
 The lexicon holds the terms that are in LEAST_SHARE to MOST_SHARE of the documents, and in two at least. The shares of all terms
 add up to the mean number of distinct terms in a document, so it holds that mean over LEAST_SHARE terms at most, however many
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from tokenloom.llm.scratch import Scratch
 
 LEAST_SHARE, MOST_SHARE, LEAST_DOCUMENTS = 0.002, 0.2, 2
-SUBSETS, LEVELS = 48, 10
+FAMILIES, LEVELS = 12, 9
+SUBSETS = 1 + FAMILIES * LEVELS
+CODE = (1 << 30) - 1  #: bits of a term's hash that are shuffled
 BREAK = r"[^\p{L}\p{N}]+"
-MARK = 0  #: stands in the lexicon, in no subset: it carries what each text has once
+MARK = 0  #: stands in the lexicon, in no text's terms: it carries what each text has once
 KEY = ["doc_id", "text_hash"]
 
 
@@ -34,26 +36,35 @@ def term_hashes(text: Column) -> Column:
 
 
 def lexicon(texts: DataFrame, n_documents: int, least_share: float = LEAST_SHARE, most_share: float = MOST_SHARE) -> DataFrame:
-    """term, subsets (bit j: it is in subset j)."""
+    """The terms in the band."""
     counts = texts.select(F.explode(term_hashes(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     band = counts.where((F.col("n") >= max(LEAST_DOCUMENTS, least_share * n_documents)) & (F.col("n") <= max(LEAST_DOCUMENTS, most_share * n_documents)))
-    bits = F.lit(0).cast("long")
-    for j in range(SUBSETS):
-        drawn = F.pmod(F.xxhash64("term", F.lit(j)), F.lit(1 << (j % LEVELS))) == 0
-        bits = bits.bitwiseOR(F.when(drawn, F.lit(1 << j).cast("long")).otherwise(F.lit(0).cast("long")))
-    return band.where(F.col("term") != MARK).select("term", bits.alias("subsets"))
+    return band.where(F.col("term") != MARK).select("term")
 
 
-def hashes(kept: Column, everything: Column) -> Column:
-    """array<int> of SUBSETS hashes from the sorted distinct (term, subsets); 0: no term in that subset."""
-    own = lambda terms: (F.xxhash64(terms).bitwiseAND(F.lit(0x7FFFFFFF))).cast("int")
-    inside_of = lambda bit: F.transform(F.filter(kept, lambda x: x["subsets"].bitwiseAND(bit) != 0), lambda x: x["term"])
-    out = []
-    for j in range(SUBSETS):
-        inside = inside_of(F.lit(1 << j).cast("long"))
-        none = F.when(F.size(kept) == 0, everything) if j == 0 else F.lit(None).cast("int")
-        out.append(F.coalesce(F.when(F.size(inside) > 0, own(inside)), none, F.lit(0)))
-    return F.array(*out)
+def digest(terms: str) -> str:
+    """SQL for the hash, 1 to 32767, of an array of terms."""
+    return f"CAST(1 + pmod(xxhash64({terms}), 32767) AS short)"
+
+
+def hash_subsets(d: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Replaces each array column of sorted distinct terms by the array of its subsets' hashes; 0: no term in that subset.
+
+    ``columns`` names for each the digest of all terms, which stands for a text without terms in the lexicon. A family's next
+    subset is filtered from the one before, so all subsets of a family cost little more than two passes over the terms.
+    """
+    plain = [c for c in d.columns if c not in columns and c not in columns.values()]
+    hashed = lambda terms, none: f"IF(size({terms}) > 0, {digest(terms)}, {none})"
+    pairs = [(c, f) for c in columns for f in range(FAMILIES)]
+    names = [f"_in_{c}_{f}" for c, f in pairs]
+    now = d.selectExpr(*plain, *(f"{hashed(c, everything)} AS _h_{c}_0" for c, everything in columns.items()), *(f"{c} AS _in_{c}_{f}" for c, f in pairs))
+    done = [f"_h_{c}_0" for c in columns]
+    for level in range(LEVELS):
+        now = now.selectExpr(*plain, *done, *(f"filter(_in_{c}_{f}, x -> xxhash64(x, {f}) & {1 << level} = 0) AS _in_{c}_{f}" for c, f in pairs))
+        fresh = {f"_h_{c}_{1 + f * LEVELS + level}": hashed(f"_in_{c}_{f}", "0S") for c, f in pairs}
+        now = now.selectExpr(*plain, *done, *(f"{e} AS {name}" for name, e in fresh.items()), *names)
+        done += fresh
+    return now.selectExpr(*plain, *(f"array({', '.join(f'_h_{c}_{j}' for j in range(SUBSETS))}) AS {c}" for c in columns))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -63,7 +74,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def render(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")), "")
 
 
 def successors(keys: DataFrame, scratch: Scratch) -> DataFrame:
@@ -85,18 +96,29 @@ def successors(keys: DataFrame, scratch: Scratch) -> DataFrame:
     return out.withColumns({"next_id": F.col("next.doc_id"), "next_hash": F.col("next.text_hash")}).drop("part", "next", "then")
 
 
-def fingerprint_texts(texts: DataFrame, columns: list[str], words: DataFrame, carry: list[str]) -> DataFrame:
-    """KEY, carry and, for each text column c, fp_c: the hashes of its subsets. texts are rows of distinct KEY."""
-    marked = lambda c, i: F.transform(F.concat(F.col(f"_t_{c}"), F.array(F.lit(MARK).cast("long"))), lambda t: F.struct(F.lit(i).alias("which"), t.alias("term")))
-    terms = F.concat(*(marked(c, i) for i, c in enumerate(columns)))
+def fingerprint_texts(texts: DataFrame, columns: tuple[str, str], words: DataFrame, carry: list[str]) -> DataFrame:
+    """KEY, carry and, for both text columns c, fp_c: the hashes of its subsets. texts are rows of distinct KEY.
+
+    A term meets the lexicon once for both texts and is shuffled once, as an int: 30 bits of its hash and which texts have it.
+    Two of the lexicon's terms with the same 30 bits count as one. What a row carries goes with its mark alone.
+    """
+    one, two = columns
     d = texts.withColumns({f"_t_{c}": term_hashes(F.col(c)) for c in columns})
-    d = d.withColumns({f"_all_{c}": (F.xxhash64(F.array_sort(f"_t_{c}")).bitwiseAND(F.lit(0x7FFFFFFF))).cast("int") for c in columns})
-    d = d.select(*KEY, *carry, *(f"_all_{c}" for c in columns), F.explode(terms).alias("x")).select("*", "x.which", "x.term").drop("x")
-    mark = words.sparkSession.range(1).select(F.lit(MARK).cast("long").alias("term"), F.lit(0).cast("long").alias("subsets"))
+    info = F.struct(*carry, *(F.expr(digest(f"sort_array(_t_{c})")).alias(f"_all_{c}") for c in columns))
+    d = d.select(*KEY, info.alias("_info"), F.col(f"_t_{one}").alias("_one"), F.col(f"_t_{two}").alias("_two"))
+    nothing = F.lit(None).cast(d.schema["_info"].dataType)
+    row = lambda which, term, said: F.struct(F.lit(which).alias("which"), term.alias("term"), said.alias("info"))
+    rows_of = lambda which, terms: F.transform(terms, lambda t: row(which, t, nothing))
+    dealt = ((3, F.array_intersect("_one", "_two")), (1, F.array_except("_one", "_two")), (2, F.array_except("_two", "_one")))
+    rows = F.concat(F.array(row(0, F.lit(MARK).cast("long"), F.col("_info"))), *(rows_of(which, terms) for which, terms in dealt))
+    d = d.select(*KEY, F.explode(rows).alias("x")).select(*KEY, "x.*")
+    mark = words.sparkSession.range(1).select(F.lit(MARK).cast("long").alias("term"))
     d = d.join(F.broadcast(words.unionByName(mark)), "term")
-    kept = {c: F.array_sort(F.collect_list(F.when((F.col("which") == i) & (F.col("term") != MARK), F.struct("term", "subsets")))).alias(f"_k_{c}") for i, c in enumerate(columns)}
-    g = d.groupBy(*KEY).agg(*(F.first(x).alias(x) for x in [*carry, *(f"_all_{c}" for c in columns)]), *kept.values())
-    return g.select(*KEY, *carry, *(hashes(F.col(f"_k_{c}"), F.col(f"_all_{c}")).alias(f"fp_{c}") for c in columns))
+    code = F.expr(f"IF(which = 0, NULL, CAST(term & {CODE} AS int) | shiftleft(which, 30))")
+    g = d.groupBy(*KEY).agg(F.first("info", ignorenulls=True).alias("info"), F.collect_list(code).alias("_codes"))
+    own = [f"sort_array(array_distinct(transform(filter(_codes, x -> shiftrightunsigned(x, 30) & {1 << i} != 0), x -> xxhash64(x & {CODE})))) AS fp_{c}" for i, c in enumerate(columns)]
+    g = g.selectExpr(*KEY, "info.*", *own)
+    return hash_subsets(g, {f"fp_{c}": f"_all_{c}" for c in columns})
 
 
 def compare_with_edited(docs: DataFrame) -> DataFrame:
@@ -115,11 +137,11 @@ def compare_with_edited(docs: DataFrame) -> DataFrame:
     heads = heads.select(F.col("l.doc_id").alias("h_id"), F.col("l.text_hash").alias("h_hash"), "n_chars", "next_id", "next_hash", F.substring(F.col("t.text"), F.lit(1), cut_at).alias("head"))
     both = texts.join(heads, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")))
     both = both.select(*KEY, "n_chars", "next_id", "next_hash", "text", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut_at), F.col("head")).alias("edited"))
-    both = both.withColumn("edited_sha256", F.sha2("edited", 256))
-    found = scratch.cut(fingerprint_texts(both, ["text", "edited"], words, ["n_chars", "next_id", "next_hash", "edited_sha256"]))
+    both = both.withColumn("edited_sha256", F.unhex(F.sha2("edited", 256)))
+    found = scratch.cut(fingerprint_texts(both, ("text", "edited"), words, ["n_chars", "next_id", "next_hash", "edited_sha256"]))
     after = found.select(F.col("doc_id").alias("a_id"), F.col("text_hash").alias("a_hash"), F.col("fp_text").alias("fp_next"))
     out = found.join(after, F.col("next_id").eqNullSafe(F.col("a_id")) & (F.col("next_hash") == F.col("a_hash")))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", render(F.col("fp_text")).alias("fingerprint"), render(F.col("fp_edited")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), render(F.col("fp_text")).alias("fingerprint"), render(F.col("fp_edited")).alias("edited_fingerprint"),
         likeness(F.col("fp_text"), F.col("fp_edited")).alias("near_edited"), likeness(F.col("fp_text"), F.col("fp_next")).alias("near_next"),
     )
