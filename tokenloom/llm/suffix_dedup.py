@@ -32,24 +32,30 @@ from tokenloom.llm.minhash import _BYTES, _powers, mix64
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 CHUNK_BYTES = 4 << 20
+MOST_AT_ONCE = 1 << 24
+PART_STRINGS = 4000  #: strings sorted at a time, unless one minimizer has more
 LAST = np.iinfo(np.int64).max
 
 
 def minimizers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each window: the position of its minimizer (the leftmost of equals); for each position: the 40-bit hash there."""
+    if len(raw) > MOST_AT_ONCE:  # a position has 24 bits beside its hash
+        step = MOST_AT_ONCE - LENGTH + 1
+        parts = [minimizers(raw[a : a + MOST_AT_ONCE]) for a in range(0, len(raw) - LENGTH + 1, step)]
+        at = np.concatenate([p + i * step for i, (p, _) in enumerate(parts)])
+        return at, np.concatenate([h[:step] for _, h in parts[:-1]] + [parts[-1][1]])
     power, inverse = _powers(1 << max(20, int(len(raw)).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * power[: len(raw)])])
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * power[: len(raw)], out=sums[1:])
     n = len(raw) - GRAM + 1
     h = mix64((sums[GRAM:] - sums[:-GRAM]) * inverse[:n]) >> np.uint64(24)
-    least, at, width = h, np.arange(n), 1
+    least, width = h << np.uint64(24) | np.arange(n, dtype=np.uint64), 1
     while width * 2 <= SPAN:
-        other = least[width:] < least[:-width]
-        least, at = np.where(other, least[width:], least[:-width]), np.where(other, at[width:], at[:-width])
+        least = np.minimum(least[width:], least[:-width])
         width *= 2
     if (rest := SPAN - width) > 0:
-        other = least[rest:] < least[:-rest]
-        at = np.where(other, at[rest:], at[:-rest])
-    return at, h
+        least = np.minimum(least[rest:], least[:-rest])
+    return (least & np.uint64((1 << 24) - 1)).astype(np.int64), h
 
 
 class Chunk:
@@ -70,7 +76,7 @@ class Chunk:
         start = 0
         while start < len(self.texts):  # some texts at a time
             stop, low = start + 1, int(self.ends[start]) - len(self.texts[start])
-            while stop < len(self.texts) and self.ends[stop] - low < 1 << 20:
+            while stop < len(self.texts) and self.ends[stop] - low < 1 << 17:
                 stop += 1
             parts.append(self._runs(start, stop, low, int(self.ends[stop - 1])))
             start = stop
@@ -116,42 +122,45 @@ def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
 def sorted_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of all non-empty suffixes in lexicographic order, by column-wise insertion."""
     k = len(strings)
-    size = np.array([len(s) for s in strings])
+    size = np.array([len(s) for s in strings], np.int64)
     flat = np.frombuffer(b"".join(strings), np.uint8)
-    begin = np.cumsum(size) - size
-    prior = lambda s, done: flat[begin[s] + size[s] - 1 - done].astype(np.uint16) + 1
-    everyone = np.arange(k)
-    bwt = prior(everyone, 0)  # of the empty suffixes, by string; 0: the string is done
-    who, off = everyone.copy(), size.copy()
-    place, live, done = everyone.copy(), everyone, 0
+    last = np.cumsum(size) - 1
+    prior = lambda s, done: flat[last[s] - done].astype(np.uint16) + 1
+    live = place = np.arange(k)
+    bwt = prior(live, 0)  # of the empty suffixes, by string; 0: the string is done
+    number = np.int32 if k < 1 << 23 else np.int64
+    name = (live << 8).astype(number)  # string and length of each suffix
+    done = finished = 0
     while len(live):
-        order = np.argsort(bwt, kind="stable")
         rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
-        new = rank[place] - int((bwt == 0).sum()) + k
+        rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+        new = rank[place] + (k - finished)
         done += 1
         more = size[live] > done
         symbol = np.zeros(len(live), np.uint16)
         symbol[more] = prior(live[more], done)
         grown = np.ones(len(bwt) + len(live), bool)
         grown[new] = False
-        for old, fresh, name in ((bwt, symbol, "bwt"), (who, live, "who"), (off, size[live] - done, "off")):
-            both = np.empty(len(grown), old.dtype)
-            both[grown], both[new] = old, fresh
-            if name == "bwt":
-                bwt = both
-            elif name == "who":
-                who = both
-            else:
-                off = both
+        both, names = np.empty(len(grown), np.uint16), np.empty(len(grown), number)
+        both[grown], both[new] = bwt, symbol
+        names[grown], names[new] = name, live << 8 | done
+        bwt, name = both, names
+        finished += int(len(live) - more.sum())
         place, live = new[more], live[more]
-    return who[k:], off[k:]
+    who = (name[k:] >> 8).astype(np.int64)
+    return who, size[who] - (name[k:] & 255)
 
 
 def equal_windows(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]:
     """For each string and window in it: the least doc of all strings that hold the same window."""
+    spread, begin, count = window_minima(strings, least)
+    return [spread[b : b + n] for b, n in zip(begin.tolist(), count.tolist(), strict=True)]
+
+
+def window_minima(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The least docs by byte of the joined strings; of each string: where its windows begin there, and how many there are."""
     who, off = sorted_suffixes(strings)
-    size = np.array([len(s) for s in strings])
+    size = np.array([len(s) for s in strings], np.int64)
     begin = np.cumsum(size) - size
     full = size[who] - off >= LENGTH
     who, off = who[full], off[full]
@@ -166,7 +175,27 @@ def equal_windows(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]:
     mins = np.minimum.reduceat(least[who], np.flatnonzero(new)) if len(at) else np.zeros(0, np.int64)
     spread = np.full(len(flat), LAST)
     spread[at] = mins[group]
-    return [spread[b : b + n - LENGTH + 1] for b, n in zip(begin.tolist(), size.tolist(), strict=True)]
+    return spread, begin, size - LENGTH + 1
+
+
+def stretches(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (count[0] of them), then the same from begin[1], and so on."""
+    return np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
+def in_parts(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``window_minima``, with the strings taken by their minimizers in parts that a processor's cache holds."""
+    at, h = minimizers(np.frombuffer(b"".join(strings), np.uint8))
+    size = np.array([len(s) for s in strings], np.int64)
+    part = _buckets(mix64(h[at[np.cumsum(size) - size]]), -(-len(strings) // PART_STRINGS))
+    order = np.argsort(part, kind="stable")
+    begin, count, done, spreads = np.empty(len(strings), np.int64), size - LENGTH + 1, 0, []
+    for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        spread, first, _ = window_minima([strings[i] for i in own], least[own])
+        begin[own] = first + done
+        done += len(spread)
+        spreads.append(spread)
+    return np.concatenate(spreads), begin, count
 
 
 def _announce(n_buckets: int):
@@ -230,7 +259,7 @@ def _deal(n_buckets: int):
         rows = []
         for group in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
             own = [strings[i] for i in group]
-            rows.append((int(bucket[group[0]]), docs.column("chunk")[0].as_py(), group.astype("<i4").tobytes(), bytes(map(len, own)), least[group].astype("<i8").tobytes(), b"".join(own)))
+            rows.append((int(bucket[group[0]]), docs.column("chunk")[0].as_py(), group.astype("<i4").tobytes(), bytes(map(len, own)), least[group].astype("<i8").tobytes(), pa.compress(b"".join(own), "zstd", asbytes=True)))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names)
 
     return work
@@ -239,7 +268,8 @@ def _deal(n_buckets: int):
 def _match(table: pa.Table) -> pa.Table:
     number: dict[bytes, int] = {}
     of, least = [], []
-    for sizes, docs, raw in zip(*(table.column(c).to_pylist() for c in ("sizes", "least", "strings")), strict=True):
+    for sizes, docs, packed in zip(*(table.column(c).to_pylist() for c in ("sizes", "least", "strings")), strict=True):
+        raw = pa.decompress(packed, sum(sizes), "zstd", asbytes=True)
         at, own = 0, []
         for n, d in zip(sizes, np.frombuffer(docs, "<i8").tolist(), strict=True):
             k = number.setdefault(raw[at : at + n], len(number))
@@ -250,8 +280,8 @@ def _match(table: pa.Table) -> pa.Table:
             own.append(k)
             at += n
         of.append(own)
-    found = equal_windows(list(number), np.array(least, np.int64))
-    more = [np.concatenate([found[k] for k in own]).astype("<i8").tobytes() for own in of]
+    spread, begin, count = in_parts(list(number), np.array(least, np.int64))
+    more = [spread[stretches(begin[own], count[own])].astype("<i8").tobytes() for own in of]
     return pa.table({"chunk": table.column("chunk"), "kind": pa.array([1] * len(of), pa.int32()), "blob": table.column("numbers"), "more": pa.array(more, pa.binary())})
 
 
@@ -264,18 +294,19 @@ def _remove(docs: pa.Table, answers: pa.Table) -> pa.Table:
     cover = np.zeros(len(c.raw) + 1, np.int32)
     if answers.num_rows:
         strings, of, _, _ = c.strings()
-        mins: list = [None] * len(strings)
+        begin, done, mins = np.empty(len(strings), np.int64), 0, []
+        windows = np.array([len(x) for x in strings], np.int64) - LENGTH + 1
         for kind, blob, more in zip(*(answers.column(x).to_pylist() for x in ("kind", "blob", "more")), strict=True):
-            at, all_mins = 0, np.frombuffer(more, "<i8")
-            for k in np.frombuffer(blob, "<i4").tolist() if kind == 1 else ():
-                n = len(strings[k]) - LENGTH + 1
-                mins[k] = all_mins[at : at + n]
-                at += n
-        for a, k, d in zip(c.first.tolist(), of.tolist(), c.docs[c.owner].tolist(), strict=True):
-            hit = np.flatnonzero(mins[k] < d) + a
-            if len(hit):
-                cover[hit] += 1  # windows of one text start at different bytes
-                cover[hit + LENGTH] -= 1
+            if kind == 1:
+                own = np.frombuffer(blob, "<i4")
+                begin[own] = done + np.cumsum(windows[own]) - windows[own]
+                mins.append(np.frombuffer(more, "<i8"))
+                done += len(mins[-1])
+        if len(of):
+            earlier = np.concatenate(mins)[stretches(begin[of], c.count)] < np.repeat(c.docs[c.owner], c.count)
+            hit = stretches(c.first, c.count)[earlier]
+            cover[hit] += 1  # windows of one text start at different bytes
+            cover[hit + LENGTH] -= 1
     gone = np.cumsum(cover[:-1]) > 0
     rows, start = [], 0
     for doc, text in zip(c.ids, c.texts, strict=True):
