@@ -81,6 +81,20 @@ def test_minhash(docs, rows, empty):
     assert minhash.near_duplicates(empty, 2).count() == 0
 
 
+def test_minhash_of_shared_and_null_ids(spark):
+    rng = random.Random(7)
+    a, b, c = ([f"{w}{i}" for i, w in enumerate(words(rng, 200).split())] for _ in range(3))
+    edit = lambda t, *at: " ".join("edit" if i in at else w for i, w in enumerate(t))
+    # Null ids only in the middle of the chain 1 - null - 2; ids 4 and 5 each stand for near-copies of b and of c.
+    chain = [edit(a, *range(0, 24, 3)), edit(a), edit(a, *range(100, 124, 3))]
+    table = [(1, chain[0]), (None, chain[1]), (2, chain[2]), (4, edit(b, 5)), (4, edit(c, 5)), (5, edit(b, 90)), (5, edit(c, 90)), (6, edit(b)), (7, edit(c))]
+    out = minhash.grouped(spark.createDataFrame(table, "doc_id long, text string").repartition(3), 2, []).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.root, []).append((r.doc_id or 0, r.component_id))
+    assert sorted(map(sorted, got.values())) == [[(0, 1), (1, 1), (2, 1)], [(4, 4), (5, 4), (6, 4)], [(4, 4), (5, 4), (7, 4)]]
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(2)
     good, bad = ((words(rng, 80), 1) for _ in range(200)), (("!! " + words(rng, 80).upper().replace(" ", "!! "), 0) for _ in range(200))

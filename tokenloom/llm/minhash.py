@@ -10,7 +10,8 @@ still in different components after that are all verified, unless their sizes ru
 
 Defined cases: null or empty text and text without words have the empty set, which links with nothing; a text with fewer than
 ``words`` words has the sequence of them as its only shingle; equal rows and rows of one doc_id are all returned; a null doc_id
-is never the smallest; an empty table gives an empty result; other columns are ignored.
+is never the smallest; an empty table gives an empty result; other columns are ignored. A doc_id may stand for several texts, and
+null for any number of them: groups are made of texts, not of ids.
 """
 
 from __future__ import annotations
@@ -139,8 +140,14 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield start, some
 
 
-def signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, class (hash of the set; null: empty), bands."""
+def _digest() -> F.Column:
+    return F.unhex(F.md5("text"))
+
+
+def signed(docs: DataFrame, words: int, carried: list[str]) -> DataFrame:
+    """doc_id and the carried columns, digest of the text, n_shingles, class (hash of the set; null: empty), bands."""
+    names = ["doc_id", *carried, "digest"]
+    docs = docs.withColumn("digest", _digest())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,13 +155,13 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(texts, words)
                 keys = band_keys(signatures(sets))
                 yield pa.RecordBatch.from_arrays([
-                    b.column("doc_id").slice(start, len(texts)), pa.array([len(s) for s in sets], pa.int64()),
+                    *(b.column(c).slice(start, len(texts)) for c in names), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([k if len(s) else [] for k, s in zip(keys, sets, strict=True)], pa.list_(pa.int64())),
-                ], ["doc_id", "n_shingles", "class", "bands"])
+                ], [*names, "n_shingles", "class", "bands"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_shingles long, class binary, bands array<long>")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(*names, "text").mapInArrow(work, f"{kinds}, n_shingles long, class binary, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -223,11 +230,11 @@ def _across(crowded: DataFrame, found: DataFrame, classes: DataFrame, texts: Dat
     return c.groupBy("part", "a", "b").applyInArrow(work, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, class, component_id (smallest doc_id reachable), kept (doc_id = component_id) for each row of docs."""
+def grouped(docs: DataFrame, words: int, carried: list[str]) -> DataFrame:
+    """doc_id and the carried columns, n_shingles, class, root (class that names the group; null: empty set), component_id for each row."""
     scratch = Scratch(docs.sparkSession, "minhash")
-    rows = scratch.cut(signed(docs, words))
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    rows = scratch.cut(signed(docs, words, carried))
+    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "digest")).alias("stands"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = scratch.cut(classes)
     members = classes.select("class", "n", F.explode("bands").alias("band"))
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
@@ -237,18 +244,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     centre = crowded.groupBy("band").agg(F.max(F.struct("known", "class", "n")).alias("top")).select("band", F.col("top.class").alias("v"), F.col("top.n").alias("n_v"))
     star = crowded.join(centre, "band").where(F.col("class") != F.col("v")).where(_may_link("n", "n_v")).select(F.col("class").alias("u"), "v")
     star = scratch.cut(star.distinct())
-    ids = classes.join(crowded.select("class").distinct(), "class", "left_semi").select(F.col("least_id").alias("doc_id"), "class")
-    texts = scratch.cut(docs.select("doc_id", "text").join(ids, "doc_id").join(rows.where("class is not null").select("doc_id", "class"), ["doc_id", "class"], "left_semi").dropDuplicates(["class"]))
+    # A class finds its text by doc_id and digest: the id alone can be null, or stand for the text of another class.
+    ids = classes.join(crowded.select("class").distinct(), "class", "left_semi").select(F.col("stands.doc_id").alias("_id"), F.col("stands.digest").alias("_digest"), "class")
+    known = docs.select("doc_id", "text", _digest().alias("digest"))
+    known = known.join(ids, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = scratch.cut(known.select("class", "text").dropDuplicates(["class"]))
     links = scratch.cut(_verified(star, texts, words))
     found = components(links, scratch)
     links = links.unionByName(scratch.cut(_across(crowded, found, classes, texts, words, scratch)))
     found = components(links, scratch)
     least = found.join(classes.select(F.col("class").alias("node"), "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("least_id"))
     least = least.join(classes.select(F.col("class").alias("root"), F.col("least_id").alias("own")), "root").select("root", F.least("own", "least_id").alias("component"))
-    named = found.join(least, "root").select(F.col("node").alias("class"), "component").unionByName(least.select(F.col("root").alias("class"), "component"))
-    named = classes.join(named, "class", "left").select("class", F.coalesce("component", "least_id").alias("component_id"))
-    out = rows.drop("bands").join(named, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "class", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    named = found.join(least, "root").select(F.col("node").alias("class"), "root", "component").unionByName(least.select(F.col("root").alias("class"), "root", "component"))
+    named = classes.join(named, "class", "left").select("class", F.coalesce("root", "class").alias("root"), F.coalesce("component", "least_id").alias("component_id"))
+    out = rows.drop("bands", "digest").join(named, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", *carried, "n_shingles", "class", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, class, component_id (smallest doc_id reachable), kept (doc_id = component_id) for each row of docs."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return grouped(docs, words, []).select("doc_id", "n_shingles", "class", "component_id", kept.alias("kept"))
 
 
 def _may_link(a: str, b: str) -> F.Column:
