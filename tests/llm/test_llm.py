@@ -95,6 +95,16 @@ def test_minhash_of_shared_and_null_ids(spark):
     assert sorted(map(sorted, got.values())) == [[(0, 1), (1, 1), (2, 1)], [(4, 4), (5, 4), (6, 4)], [(4, 4), (5, 4), (7, 4)]]
 
 
+def test_representatives_of_shared_and_null_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d = (words(rng, 200) for _ in range(4))
+    near = lambda t: t + " end"
+    table = [(None, a), (None, b), (None, near(b)), (7, near(c)), (7, d), (5, c), (8, near(d)), (9, near(a)), (None, None), (1, ""), (1, None), (3, c[:300]), (3, c[:300])]
+    out = sorted(tuple(r) for r in minhash.representatives(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).fillna("-", ["text"]).fillna(-1).collect())
+    got = [r for r in out if r[1] not in (b, near(b))]
+    assert got == sorted([(9, near(a)), (7, d), (5, c), (-1, "-"), (1, ""), (1, "-"), (3, c[:300])]) and len(out) == len(got) + 1
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(2)
     good, bad = ((words(rng, 80), 1) for _ in range(200)), (("!! " + words(rng, 80).upper().replace(" ", "!! "), 0) for _ in range(200))

@@ -273,7 +273,11 @@ def _may_link(a: str, b: str) -> F.Column:
 
 
 def representatives(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row of docs for each group of near-duplicates: that of the smallest doc_id; of rows of one doc_id, one."""
-    kept = near_duplicates(docs, words).where("kept or doc_id is null").select("doc_id").distinct()
-    known = docs.dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().where("count > 1").limit(1).count() else docs
-    return known.join(kept, known["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of docs for each group of near-duplicates: that of the smallest doc_id, null last; of several such rows, any one."""
+    scratch = Scratch(docs.sparkSession, "representatives")
+    numbered = scratch.cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = scratch.cut(grouped(numbered, words, ["_row"]).select("doc_id", "_row", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
+    kept = rows.where("root is not null").groupBy("root").agg(first.alias("first")).select("first._row")
+    kept = kept.unionByName(rows.where("root is null").select("_row"))
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
