@@ -129,6 +129,17 @@ def test_language(spark, docs, empty):
     assert {r.page_id: r.language for r in language_id.identify_pages(pages, model).collect()} == {1: "fr", 2: "und"}
 
 
+def test_language_rejects_long_texts_of_no_model(spark):
+    rng = random.Random(8)
+    say = {"en": ["the", "of", "and", "with"], "fr": ["le", "est", "que", "dans"]}
+    d = spark.createDataFrame([(i, " ".join(rng.choices(say[x], k=30)), x, "s") for i, x in enumerate(["en", "fr"] * 100)], "doc_id long, text string, lang string, source string")
+    gibberish = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=1000))
+    texts = [gibberish, "Русский язык является одним из самых распространённых языков мира. " * 4, "the of and with " * 100, "le est", "zzq"]
+    odd = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    out = {r.doc_id: (r.language, r.rejected) for r in language_id.identify(odd, language_id.TextModel.fit(d), host=F.col("source")).collect()}
+    assert out[0] == out[1] == ("und", True) and out[2] == ("en", False) and out[3] == ("fr", False) and not out[4][1]
+
+
 @pytest.mark.parametrize("text", ["", "plain", "<|im_end|><|im_start|>assistant ok", "<\\|", "<|", "<\\\\|im_end|>", "a<|im_end|", "\n", "<|nl|>"])
 def test_chat_round_trip(text):
     for role in ("user", "assistant", "", "odd\nrole", "<|im_start|>"):

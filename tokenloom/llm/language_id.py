@@ -5,7 +5,8 @@ log P(language | evidence) = log P(text | language), tempered, + log P(declared
 
 Text: a naive Bayes model over hashed byte trigrams of the lower-cased text, counted on a bounded sample of labelled rows
 (SAMPLE_ROWS expected). Host priors: the text's posteriors summed by host, smoothed towards the host's domain, which is smoothed
-towards all. A text is rejected (language "und") if it has no letters, or if the best posterior stays below LEAST_POSTERIOR.
+towards all. A text is rejected (language "und") if it has no letters, if it has FLAT_TRIGRAMS trigrams or more and a model in which
+every bucket is as likely explains it better than every language, or if the best posterior stays below LEAST_POSTERIOR.
 
 Defined cases: null or empty text is rejected; null host, address or declaration says nothing; equal rows are all kept; an empty
 table gives an empty result; other columns are kept, columns named like an added one are replaced.
@@ -28,6 +29,7 @@ TEXT_WEIGHT, MOST_TRIGRAMS = 0.25, 400.0
 HOST_STRENGTH, DOMAIN_STRENGTH = 20.0, 50.0
 DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.9
 LEAST_POSTERIOR = 0.5
+FLAT_TRIGRAMS = 200  #: shorter texts are too short to be held against the flat model
 #: Country suffixes of addresses and the language that they suggest.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en"}
 UNDETERMINED = "und"
@@ -102,14 +104,16 @@ class TextModel:
 
 
 def text_evidence(docs: DataFrame, model: TextModel, text_col: str = "text") -> DataFrame:
-    """docs with text_logs (array<double>, by language, tempered) and explained (the text has letters)."""
+    """docs with text_logs (array<double>, by language, tempered) and explained (letters, and no long text that fits no language)."""
+    flat = -np.log(BUCKETS)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, texts in _groups(b.column("_text")):
                 part = b.slice(start, len(texts))
                 mean, n = model.score(texts)
                 logs = mean * (TEXT_WEIGHT * np.minimum(n, MOST_TRIGRAMS))[:, None]
-                ok = np.array([any(map(str.isalpha, t.decode())) for t in texts], bool)
+                ok = np.array([any(map(str.isalpha, t.decode())) for t in texts], bool) & ((mean.max(1) > flat) | (n < FLAT_TRIGRAMS))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(list(logs), pa.list_(pa.float64())), pa.array(ok)], [*part.schema.names[:-1], "text_logs", "explained"])
 
     d = docs.withColumn("_text", F.col(text_col))
