@@ -222,3 +222,16 @@ def test_mixing(docs, rows, empty):
     assert abs(sum(t for _, t in by) - total) < 1e-6 and all(abs(sum(x) - t) <= 8 * 4 for (_, t), x in by.items())
     assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.taken(docs, 8).collect()), key=str)
     assert mixing.taken(empty).count() == 0
+
+
+def test_mixing_of_small_sources(spark):
+    rng = random.Random(9)
+    sizes = [("big1", 9000), ("big2", 12000), ("big3", 15000), ("s5", 5), ("s40", 40), (None, 300)] + [(f"t{i}", 20) for i in range(8)]
+    table = [(i, words(rng, n // 5), s) for i, (s, n) in enumerate(x for x in sizes for _ in range(5))]
+    by = {}
+    for r in mixing.taken(spark.createDataFrame(table, "doc_id long, text string, source string")).collect():
+        assert 0 <= r.taken <= 3 * r.size
+        by.setdefault((r.source, r.target), []).append(r.taken)
+    small = {s: (t, sum(x)) for (s, t), x in by.items() if t < 8 * mixing.BLOCK_WORDS}
+    assert len(small) == 11 and all(n == round(t) > 0 for t, n in small.values())
+    assert all(abs(sum(x) - t) <= 4 * mixing.BLOCK_WORDS for (_, t), x in by.items())

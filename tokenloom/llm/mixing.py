@@ -2,7 +2,8 @@
 
 Golden-ratio points, in integer arithmetic, are mapped through the sources' cumulative targets: each point is a slot of
 ``BLOCK_WORDS`` words. A source's slots are ranked; slot r takes the r-th block of the source's shuffled documents, which start
-anew after the last one, up to MOST_REPEATS passes.
+anew after the last one, up to MOST_REPEATS passes. A source whose target is under EXACT_BLOCKS blocks would get none or some by
+chance: it takes its target to the word, in whole blocks and a last, shorter one, at slots spread evenly.
 
 Ranks and running sums are taken in two levels (within a slice, plus the sum of the slices before), so a source that holds
 a third of everything is spread over ``SLICES`` groups.
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm.scratch import Scratch
 
 BLOCK_WORDS = 128
+EXACT_BLOCKS = 8
 MOST_REPEATS = 3
 SLICES = 4096
 SEED = "mix"
@@ -81,6 +83,13 @@ def schedule(goals: DataFrame, n_slots: int) -> DataFrame:
     return _join(ranked, before, ["source", "slice"]).select("slot", "source", (F.col("n_before") + F.col("within")).alias("rank"))
 
 
+def exact(goals: DataFrame, n_slots: int, block_words: int) -> DataFrame:
+    """slot, source, rank, most: the blocks of each source in goals up to its rounded target, ``most`` words in all."""
+    g = goals.select("source", F.round("target").cast("long").alias("most")).where("most > 0")
+    g = g.withColumn("n", F.expr(f"(most - 1) div {block_words} + 1")).withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return g.select(F.expr(f"(2 * rank + 1) * {n_slots} div (2 * n)").alias("slot"), "source", "rank", "most")
+
+
 def shuffled(sizes: DataFrame) -> DataFrame:
     """sizes with start: the words before a document in its source's shuffled order."""
     s = sizes.withColumn("_key", F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
@@ -100,13 +109,16 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Dat
     total = sizes.agg(F.sum("size")).first()[0] or 0
     goals = targets(sizes)
     out = _join(shuffled(sizes), goals.select("source", "source_size", "target"), ["source"])
-    slots = schedule(goals, -(-total // block_words))
+    n_slots, small = -(-total // block_words), F.col("target") < EXACT_BLOCKS * block_words
+    slots = schedule(goals.where(~small), n_slots).withColumn("most", F.lit(None).cast("long"))
+    slots = slots.unionByName(exact(goals.where(small), n_slots, block_words))
     passes = out.where("size > 0").withColumn("at", F.explode(F.transform(F.array(*map(F.lit, range(MOST_REPEATS))), lambda k: F.col("start") + k * F.col("source_size"))))
     blocks = passes.withColumn("block", F.explode(F.sequence(F.expr(f"at div {block_words}"), F.expr(f"(at + size - 1) div {block_words}"))))
     first = F.greatest(F.col("at"), F.col("block") * block_words)
     words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words) - first
-    blocks = blocks.select("source", F.col("block").alias("rank"), "row_id", "doc_id", words.alias("words"), (first - F.col("at")).alias("first"))
-    return _join(blocks, slots, ["source", "rank"]).withColumnRenamed("rank", "block"), out
+    blocks = blocks.select("source", F.col("block").alias("rank"), "row_id", "doc_id", words.alias("words"), (first - F.col("at")).alias("first"), first.alias("_from"))
+    pieces = _join(blocks, slots, ["source", "rank"]).withColumn("words", F.least("words", F.col("most") - F.col("_from"))).where("words > 0")
+    return pieces.drop("most", "_from").withColumnRenamed("rank", "block"), out
 
 
 def taken(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
