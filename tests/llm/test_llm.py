@@ -235,3 +235,11 @@ def test_mixing_of_small_sources(spark):
     small = {s: (t, sum(x)) for (s, t), x in by.items() if t < 8 * mixing.BLOCK_WORDS}
     assert len(small) == 11 and all(n == round(t) > 0 for t, n in small.values())
     assert all(abs(sum(x) - t) <= 4 * mixing.BLOCK_WORDS for (_, t), x in by.items())
+
+
+def test_redact_takes_whole_pem_keys(spark):
+    body = "\n".join("".join(random.Random(i).choices("ABCDEFabcdef0123+/", k=64)) for i in range(20)) + "\nQUJD/w=="
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"a {head}\n{body}\n{end} z", f"a {head}\n{body}\nthen prose", f"a {head} z"]
+    d = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    assert [r.text for r in secrets.redact(d).orderBy("doc_id").collect()] == ["a [pem] z", "a [pem]\nthen prose", "a [pem] z"]

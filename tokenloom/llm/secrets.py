@@ -45,6 +45,8 @@ MORE_RULES = (
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 RULES = BASE_RULES + MORE_RULES
+#: What redact() replaces: of a PEM key the base64 body, too, to its END line or, without one, as far as base64 goes on.
+REDACTED = tuple(r if r.kind != "pem" else Rule("pem", r.pattern + r"(?:[A-Za-z0-9+/=\s:,.\\-]{0,20000}?-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:(?:\s|\\[nr])+[A-Za-z0-9+/=]{16,}){0,400}(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{1,76}={1,2})?)") for r in RULES)
 MOST_STRINGS = 64
 
 
@@ -178,7 +180,7 @@ def render_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
     """docs with each stretch of text under a span replaced by ``[kind]`` (of the first span there), n_chars counted anew."""
     found = find_secrets(docs, rules)
     clean = F.aggregate(
