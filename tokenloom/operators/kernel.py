@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 from tokenloom.functions.patterns import split
+from tokenloom.operators.batch import Ids, Memo, encode_texts
 
-MEMO_ENTRIES = 400_000
+#: Of at most MEMO_PIECE characters each, some 200 bytes with its ids: 30 MB for a worker at most.
+MEMO_ENTRIES = 150_000
 MEMO_PIECE = 64
 SCAN_LIMIT = 48
 
@@ -74,40 +78,35 @@ def as_bytes(text: str) -> bytes:
 
 
 class Kernel:
-    """Encodes texts of one encoding. No piece goes on over a single space between visible characters, so texts are first cut
-    there, and most such words are answered by the memo; other texts are split as a whole."""
+    """Encodes texts of one encoding, with one memo of words and one of the sizes of pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_entries: int = MEMO_ENTRIES):
-        self.ranks, self.pattern, self.memo_entries = ranks, pattern, memo_entries
-        self.memo: dict[str, bytes | None] = {}
-        self.sizes: dict[str, tuple[int, int]] = {}
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_entries: int = MEMO_ENTRIES, memo_piece: int = MEMO_PIECE):
+        self.ranks, self.pattern = ranks, pattern
+        self.memo, self.sizes = Memo(memo_entries, memo_piece), Memo(memo_entries, memo_piece)
 
-    def piece_ids(self, text: str) -> list[list[int]]:
-        return [merge(as_bytes(p), self.ranks) for p in split(text, self.pattern)]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array([i for ids in self.piece_ids(text) for i in ids], "<i4").tobytes()
+    def forget(self) -> None:
+        self.memo, self.sizes = Memo(self.memo.capacity, self.memo.longest), Memo(self.sizes.capacity, self.sizes.longest)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        words = text.split(" ")
-        if len(words) == 1 or not words[0] or words[0][-1].isspace():
-            return self._whole(text)
-        memo = self.memo
-        out = [self._whole(words[0])]
-        for w in words[1:]:
-            try:
-                ids = memo[w]
-            except KeyError:
-                ids = None if not w or w[0].isspace() or w[-1].isspace() else self._whole(f" {w}")
-                if len(w) <= MEMO_PIECE:
-                    if len(memo) >= self.memo_entries:
-                        memo.clear()
-                    memo[w] = ids
+        return np.array([i for p in split(text, self.pattern) for i in merge(as_bytes(p), self.ranks)], "<i4").tobytes()
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and each word. No word begins or ends with white space, so a piece that begins with a space begins a word."""
+        known: dict[str, bytes] = {}
+        out: list[list[bytes]] = []
+        for p in split(" " + " ".join(words), self.pattern) if words else ():
+            ids = known.get(p)
             if ids is None:
-                return self._whole(text)
-            out.append(ids)
-        return b"".join(out)
+                ids = known[p] = np.array(merge(as_bytes(p), self.ranks), "<i4").tobytes()
+            if p[0] == " ":
+                out.append([ids])
+            else:
+                out[-1].append(ids)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def encode_texts(self, texts: pa.Array, whole: Callable[[int], bytes] | None = None, apart: np.ndarray | None = None) -> Ids:
+        return encode_texts(texts, self.memo, self.words, self.encode, whole, apart)
 
     def piece_counts(self, text: str) -> tuple[list[int], list[int]]:
         """(exclusive end of each piece in bytes, its number of tokens)."""
@@ -117,10 +116,7 @@ class Kernel:
             if size is None:
                 raw = as_bytes(p)
                 size = len(raw), len(merge(raw, self.ranks))
-                if len(p) <= MEMO_PIECE:
-                    if len(self.sizes) >= MEMO_ENTRIES:
-                        self.sizes.clear()
-                    self.sizes[p] = size
+                self.sizes.put(p, size)
             at += size[0]
             ends.append(at)
             counts.append(size[1])

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.encodings import Encoding
@@ -36,17 +36,11 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.coalesce(slow, fast)
 
 
-def fast_pieces(text: Column, pattern: str) -> Column:
-    """pieces() for texts without code points newer than the JVM's tables: no Python in the plan."""
-    return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
-
-
-def piece_ends(parts: Column) -> Column:
-    """Exclusive ends of the pieces in UTF-8 bytes."""
-    return F.aggregate(
-        parts, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("ends")),
-        lambda s, p: F.struct((s["at"] + F.octet_length(p)).alias("at"), F.concat(s["ends"], F.array(s["at"] + F.octet_length(p))).alias("ends")),
-    )["ends"]
+def piece_ends(df: DataFrame, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, piece_ix, end: exclusive ends of the pieces in UTF-8 bytes; the sums run within a text."""
+    d = df.select(id_col, F.posexplode(pieces(F.col(text_col), pattern)).alias("piece_ix", "piece"))
+    w = Window.partitionBy(id_col).orderBy("piece_ix").rowsBetween(Window.unboundedPreceding, 0)
+    return d.select(id_col, "piece_ix", F.sum(F.octet_length("piece")).over(w).alias("end"))
 
 
 def quoted(names: Iterable[str]) -> str:

@@ -24,7 +24,7 @@ def tokens_by_lang_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pretokenize(pattern: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = docs(spark, sf_dir).withColumn("p", T.pieces(F.col("text"), pattern))
+        d = tokens.spread(docs(spark, sf_dir)).withColumn("p", T.pieces(F.col("text"), pattern))
         size = F.transform("p", lambda x: F.octet_length(x).cast("long"))
         return d.select("doc_id", F.size("p").cast("long").alias("n_pieces"), F.md5(F.array_join("p", "\u0001")).alias("pieces_md5"), F.aggregate(size, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_bytes"))
 
@@ -58,11 +58,8 @@ SELECT doc_id, CAST(len(p) AS BIGINT) AS n_pieces, md5(array_to_string(p, chr(1)
 
 
 def piece_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).select("doc_id", F.posexplode(T.fast_pieces(F.col("text"), "gpt2")).alias("piece_ix", "piece"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("piece_ix").rowsBetween(Window.unboundedPreceding, 0)
-    return d.select("doc_id", F.col("piece_ix").cast("long").alias("piece_ix"), F.sum(F.octet_length("piece")).over(w).alias("end_byte"))
+    d = T.piece_ends(docs(spark, sf_dir), "gpt2")
+    return d.select("doc_id", F.col("piece_ix").cast("long").alias("piece_ix"), F.col("end").alias("end_byte"))
 
 
 PIECE_ENDS_SQL = f"""WITH p AS (SELECT doc_id, {_pieces_sql("gpt2")} AS p FROM documents),

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.encodings import ENCODINGS
 from tokenloom.operators import text as T
 from tokenloom.operators import tokens
-from tokenloom.operators.kernel import Kernel, as_text
+from tokenloom.operators.kernel import Kernel
 from tokenloom.sources.vocabulary import Vocabulary
 
 
@@ -45,7 +47,7 @@ class Tokenizer:
         return tokens.count(df, self.vocabulary, col, allowed)
 
     def fits(self, df: DataFrame, most: int, col: str = "text") -> DataFrame:
-        return self.count_ordinary(df, col).withColumn("fits", tokens.fits(F.col("n_tokens"), most))
+        return tokens.fits_within(df, self.vocabulary, most, col)
 
     def truncate(self, df: DataFrame, budget: int, col: str = "text") -> DataFrame:
         d = tokens.piece_token_counts(df, self.vocabulary, col)
@@ -54,8 +56,12 @@ class Tokenizer:
     def windows(self, df: DataFrame, most: int, overlap: int = 0, col: str = "text") -> DataFrame:
         return tokens.windows(df, self.vocabulary, most, overlap, col)
 
-    def pad(self, df: DataFrame, pad_id: int, most: int = 0, col: str = "text") -> DataFrame:
-        return tokens.pad(self.encode_ordinary(df, col), self.vocabulary, pad_id, most)
+    def encode_onto(self, df: DataFrame, ids_col: str, col: str = "text", allowed: Iterable[str] | None = None) -> DataFrame:
+        """The text's ids appended to ids_col; without a list of allowed names, special tokens are text."""
+        return tokens.encode_onto(df, self.vocabulary, ids_col, col, allowed)
+
+    def pad(self, df: DataFrame, pad_id: int, most: int = 0, col: str = "text", batch: str | None = None) -> DataFrame:
+        return tokens.pad(self.encode_ordinary(df, col), self.vocabulary, pad_id, most, batch)
 
     def decode_bytes(self, df: DataFrame, col: str = "ids") -> DataFrame:
         return tokens.decode(df, self.vocabulary, col)
@@ -68,19 +74,22 @@ class Tokenizer:
         prefix, ranks, pattern = prefix or self.encoding, self.vocabulary.ranks, self.vocabulary.encoding.pattern
         kernel = Kernel(ranks, pattern)
 
+        def found(texts: pd.Series):
+            kernel.forget()
+            return kernel.encode_texts(pa.array(texts.fillna("").tolist(), pa.string()))
+
         @F.pandas_udf("bigint")
         def count(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: None if t is None else len(kernel.encode(as_text(t))) // 4).astype("Int64")
+            return pd.Series(found(texts).counts(), dtype="Int64").mask(texts.isna().to_numpy())
 
         @F.pandas_udf("array<int>")
         def encode(texts: pd.Series) -> pd.Series:
-            import numpy as np
-
-            return texts.map(lambda t: None if t is None else np.frombuffer(kernel.encode(as_text(t)), "<i4"))
+            ids = found(texts)
+            return pd.Series(np.split(ids.ids(), np.cumsum(ids.counts())[:-1]) if len(texts) else [], dtype=object).mask(texts.isna().to_numpy(), None)
 
         @F.pandas_udf("boolean")
         def fits(texts: pd.Series, most: pd.Series) -> pd.Series:
-            return pd.Series([None if t is None else len(kernel.encode(as_text(t))) // 4 <= m for t, m in zip(texts, most, strict=True)], dtype="boolean")
+            return pd.Series(found(texts).counts() <= most.to_numpy(), dtype="boolean").mask((texts.isna() | most.isna()).to_numpy())
 
         for name, f in (("count", count), ("encode", encode), ("fits", fits)):
             self.spark.udf.register(f"{prefix}_{name}", f)
