@@ -5,7 +5,9 @@ and no two neighbours would have merged across their boundary at any time. The s
 trees backwards in time along the boundary. That walk runs in numpy on all proposed pairs of a batch at once. Words that fail go
 through the merge loop itself.
 
-Defined cases: null text counts as empty; empty text has no tokens; repeated rows are all kept; other columns are untouched.
+Defined cases: null text counts as empty; empty text has no tokens; repeated rows are all kept; a text or word of any length is
+encoded whole (the merge loop is a heap), words of more than MEMO_WORD characters are not remembered; other columns are untouched,
+those named like an added one are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,12 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tokenloom.operators.batch import Memo, encode_texts, groups, stretches
 
 #: The split pattern of byte-level tokenizers of this family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO_ENTRIES = 400_000
+#: Words of at most MEMO_WORD characters; some 200 bytes each with their ids, so 30 MB for a worker at most.
+MEMO_ENTRIES, MEMO_WORD = 150_000, 64
+SCAN = 32  #: bytes up to which the merge loop scans a list
 NEVER = np.int64(1) << 40
 #: Code points that this regex module calls letters, marks or numbers and the tokenizers library does not yet.
 LATER = regex.compile(
@@ -36,11 +44,6 @@ LATER = regex.compile(
 )
 
 
-def _halved(memo: dict, most: int) -> dict:
-    """memo, or the later half of its entries once it holds more than ``most``."""
-    return memo if len(memo) <= most else dict(list(memo.items())[len(memo) // 2 :])
-
-
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in of each byte in tokenizer files: itself if visible Latin-1, else the next code point from 256 on."""
     visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -71,6 +74,7 @@ class Codec:
                 self.left[c], self.right[c], self.rank[c] = a, b, r
         order = np.argsort(pairs)
         self.pair_key, self.pair_rank = np.array(pairs, np.int64)[order], order.astype(np.int64)
+        self.byte_id = [self.id_of.get(bytes([b]), -1) for b in range(256)]
         self.longest = [0] * 256
         for b in self.id_of:
             self.longest[b[0]] = max(self.longest[b[0]], len(b))
@@ -80,12 +84,12 @@ class Codec:
         for c, ok in sorted(zip(made.tolist(), fine.tolist(), strict=True), key=lambda x: self.rank[x[0]]):
             whole[c] = ok and whole[self.left[c]] and whole[self.right[c]]
         self.whole = whole
-        self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes | None] = {}
-        self.memo_entries = memo_entries
+        self.memo = Memo(memo_entries, MEMO_WORD)
         self.split = regex.compile(SPLIT).findall
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.tokens = [self.bytes_of.get(i, b"") for i in range(n)]
+        tokens = [self.bytes_of.get(i, b"") for i in range(n)]
+        self.flat, self.width = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
+        self.begin = np.cumsum(self.width) - self.width
 
     def pair_ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         key = x * self.size + y
@@ -125,8 +129,25 @@ class Codec:
         return out
 
     def exact(self, word: bytes) -> list[int]:
-        """The merge loop: always the lowest rank, the leftmost of equals; a heap over a linked list, for words of any length."""
-        ids = [self.id_of[word[i : i + 1]] for i in range(len(word))]
+        """The merge loop: always the lowest rank, the leftmost of equals."""
+        ids = [self.byte_id[b] for b in word]
+        return self._scan(ids) if len(ids) <= SCAN else self._heap(ids)
+
+    def _scan(self, ids: list[int]) -> list[int]:
+        get, none = self.merges.get, (1 << 40, -1)
+        pairs = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while pairs and (low := min(pairs)) is not none:
+            i = pairs.index(low)
+            ids[i : i + 2] = [low[1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get((low[1], ids[i + 1]), none)
+            if i:
+                pairs[i - 1] = get((ids[i - 1], low[1]), none)
+        return ids
+
+    def _heap(self, ids: list[int]) -> list[int]:
+        """The same by a heap over a linked list, for words of any length."""
         n, get = len(ids), self.merges.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
@@ -174,88 +195,86 @@ class Codec:
             return out
         return self.split(text)
 
-    def know(self, texts: list[str]) -> list[bytes]:
-        """Ids of stretches of text, by their pieces; each distinct piece is encoded once while the memo holds it."""
-        parts = [self.pieces(t) for t in texts]
-        new = list(set().union(*parts).difference(self.memo))
-        for i in range(0, len(new), 50_000):
-            self.memo |= self.learn(new[i : i + 50_000])
-        get = self.memo.__getitem__
-        out = [b"".join(map(get, p)) for p in parts]
-        self.memo = _halved(self.memo, self.memo_entries)
-        return out
+    def know(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pieces."""
+        found: dict[str, bytes] = {}
+        for i in range(0, len(pieces), 50_000):
+            found |= self.learn(pieces[i : i + 50_000])
+        return found
+
+    def words_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and each word. No word begins or ends with white space, so a piece that begins with a space begins a word."""
+        pieces = self.pieces(" " + " ".join(words)) if words else []
+        found = self.know(list(set(pieces)))
+        out: list[list[bytes]] = []
+        for p in pieces:
+            if p[0] == " ":
+                out.append([found[p]])
+            else:
+                out[-1].append(found[p])
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def text_ids(self, text: str) -> bytes:
+        """Ids of a text, piece by piece, special tokens where they stand."""
+        out = []
+        for x in self.special_split.split(text) if self.special_split else [text]:
+            if x in self.special:
+                out.append(self.special[x].to_bytes(4, "little"))
+            else:
+                pieces = self.pieces(x)
+                found = self.know(list(set(pieces)))
+                out += map(found.__getitem__, pieces)
+        return b"".join(out)
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's end)."""
+        apart = np.zeros(len(texts), bool)
+        for s in self.special:
+            apart |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        ids = encode_texts(texts, self.memo, self.words_ids, self.text_ids, apart=apart)
+        return ids.ids(), np.cumsum(ids.counts())
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit bytes.
+        """Ids of each text as little-endian 32-bit bytes."""
+        ids, ends = self.encode_texts(pa.array(texts, pa.string()))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, ends[:-1])]
 
-        A piece never goes on over a single space between two visible characters, so texts are cut there first and the memo of
-        such words answers most of them; texts with other white space around a space are cut into pieces as a whole.
-        """
-        parts = [self.special_split.split(t) if self.special_split and self.special_split.search(t) else [t] for t in texts]
-        words = [[[] if x in self.special else x.split(" ") for x in p] for p in parts]
-        new = list(set().union(*(w[1:] for p in words for w in p)).difference(self.words))
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            safe = [w for w in some if w and not (w[0].isspace() or w[-1].isspace())]
-            self.words |= dict.fromkeys(some)
-            self.words |= zip(safe, self.know([f" {w}" for w in safe]), strict=True)
-        heads = {}
-        for p, ws in zip(parts, words, strict=True):
-            for x, w in zip(p, ws, strict=True):
-                if w and (len(w) == 1 or not w[0] or w[0][-1].isspace() or None in map(self.words.get, w[1:])):
-                    heads[x] = None
-                elif w:
-                    heads[w[0]] = None
-        heads = dict(zip(heads, self.know(list(heads)), strict=True))
-        get, out = self.words.__getitem__, []
-        for p, ws in zip(parts, words, strict=True):
-            ids = []
-            for x, w in zip(p, ws, strict=True):
-                if not w:
-                    ids.append(self.special[x].to_bytes(4, "little"))
-                elif x in heads:
-                    ids.append(heads[x])
-                else:
-                    ids += [heads[w[0]], *map(get, w[1:])]
-            out.append(b"".join(ids))
-        self.words = _halved(self.words, self.memo_entries)
-        return out
+    def decode_texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The text of each stretch of ids; what isn't UTF-8 is replaced."""
+        raw = self.flat[stretches(self.begin[ids], self.width[ids])].tobytes()
+        at = np.concatenate([[0], np.cumsum(self.width[ids])])[np.concatenate([[0], ends])].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+    def forget(self) -> None:
+        self.memo = Memo(self.memo.capacity, self.memo.longest)
 
 
 _codecs: dict[str, Codec] = {}
 
 
 def codec_of(spec: bytes) -> Codec:
-    """One codec per Python worker and file, with its memo, shared by the worker's tasks."""
+    """One codec per Python worker and file; its memo goes at the end of a task."""
     key = hashlib.sha256(spec).hexdigest()
     if key not in _codecs:
         _codecs[key] = Codec(spec)
     return _codecs[key]
 
 
-#: Characters of text that are encoded together.
-GROUP_CHARS = 4_000_000
-
-
-def _map(df: DataFrame, text_col: str, path: str, extra: str, names: list[str], row) -> DataFrame:
+def _map(df: DataFrame, text_col: str, path: str, extra: str, names: list[str], columns) -> DataFrame:
+    """df with more columns: columns(codec, ids, ends) for each group of texts."""
     spec = df.sparkSession.sparkContext.broadcast(open(path, "rb").read())  # one vocabulary file: of a fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(spec.value)
-        for b in batches:
-            start = 0
-            while start < b.num_rows:
-                texts, chars = [], 0
-                while start + len(texts) < b.num_rows and (not texts or chars < GROUP_CHARS):
-                    texts.append(b.column(text_col)[start + len(texts)].as_py() or "")
-                    chars += len(texts[-1])
-                part = b.slice(start, len(texts))
-                start += len(texts)
-                columns = list(zip(*(row(codec, ids) for ids in codec.encode_batch(texts)), strict=True))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c) for c in columns)], [*part.schema.names, *names])
+        try:
+            for b in batches:
+                start = 0
+                for texts in groups(b.column(text_col)):
+                    part = b.slice(start, len(texts))
+                    start += len(texts)
+                    yield pa.RecordBatch.from_arrays([*part.columns, *columns(codec, *codec.encode_texts(pc.fill_null(texts, "")))], [*part.schema.names, *names])
+        finally:
+            codec.forget()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(work, f"{kinds}, {extra}")
@@ -263,14 +282,34 @@ def _map(df: DataFrame, text_col: str, path: str, extra: str, names: list[str],
 
 def encode_decode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Adds token_ids (array<int>), n_tokens and decoded to the columns of df, in place of any of these names."""
-    df = df.drop("token_ids", "n_tokens", "decoded")
-    return _map(df, text_col, path, "token_ids array<int>, n_tokens long, decoded string", ["token_ids", "n_tokens", "decoded"],
-                lambda c, ids: (np.frombuffer(ids, "<i4"), len(ids) // 4, c.decode(ids)))
+
+    def columns(c: Codec, ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+        return [listed, pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(c.decode_texts(ids, ends), pa.string())]
+
+    return _map(df.drop("token_ids", "n_tokens", "decoded"), text_col, path, "token_ids array<int>, n_tokens long, decoded string", ["token_ids", "n_tokens", "decoded"], columns)
+
+
+def encoded(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """df with token_ids, n_tokens and round_trips (decoding gives the text back), in place of any of these names; the decoded text
+    stays in the worker."""
+
+    def columns(c: Codec, ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+        return [listed, pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(c.decode_texts(ids, ends), pa.string())]
+
+    out = _map(df.drop("token_ids", "n_tokens", "round_trips"), text_col, path, "token_ids array<int>, n_tokens long, round_trips string", ["token_ids", "n_tokens", "round_trips"], columns)
+    return out.withColumn("round_trips", F.col("round_trips") == F.coalesce(text_col, F.lit("")))
 
 
 def digests(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; ids and decoded text never leave the worker."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    out = _map(df.select("doc_id", text_col), text_col, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"],
-               lambda c, ids: (len(ids) // 4, sha(ids), sha(c.decode(ids).encode())))
+
+    def columns(c: Codec, ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+        raw = memoryview(ids.astype("<u4").tobytes())
+        own = [sha(raw[4 * a : 4 * b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return [pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(own, pa.string()), pa.array([sha(t.encode()) for t in c.decode_texts(ids, ends)], pa.string())]
+
+    out = _map(df.select("doc_id", text_col), text_col, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"], columns)
     return out.drop(text_col)
