@@ -8,8 +8,9 @@ Text: a naive Bayes model over hashed byte trigrams of the lower-cased text, cou
 towards all. A text is rejected (language "und") if it has no letters, if it has FLAT_TRIGRAMS trigrams or more and a model in which
 every bucket is as likely explains it better than every language, or if the best posterior stays below LEAST_POSTERIOR.
 
-Defined cases: null or empty text is rejected; null host, address or declaration says nothing; equal rows are all kept; an empty
-table gives an empty result; other columns are kept, columns named like an added one are replaced.
+Defined cases: null or empty text is rejected; null host, address or declaration says nothing; equal rows are all kept; of languages
+that are equally likely the first by name counts; texts of any length are read whole; an empty table gives an empty result; other
+columns are kept whatever their names, columns named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -71,8 +72,9 @@ class TextModel:
     def fit(cls, docs: DataFrame, label_col: str = "lang", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> TextModel:
         n = docs.count()
         share = min(1.0, sample_rows / max(n, 1))
-        drawn = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 20)) < int(share * (1 << 20))
-        sample = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & drawn).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+        d = docs.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+        drawn = F.pmod(F.xxhash64("row", "text"), F.lit(1 << 20)) < int(share * (1 << 20))  # by row, so copies of a text aren't drawn together
+        sample = d.where(F.col("label").isNotNull() & F.col("text").isNotNull() & drawn).select("label", "text")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[str, np.ndarray] = {}
@@ -103,22 +105,25 @@ class TextModel:
         return sums / np.maximum(n, 1)[:, None], n
 
 
-def text_evidence(docs: DataFrame, model: TextModel, text_col: str = "text") -> DataFrame:
-    """docs with text_logs (array<double>, by language, tempered) and explained (letters, and no long text that fits no language)."""
+def text_evidence(docs: DataFrame, model: TextModel, text_col: str, into: str, carried: list[str]) -> DataFrame:
+    """The carried columns and ``into``, a struct, with logs (array<double>, by language, tempered) and explained (letters, and no long
+    text that fits no language) added to it."""
     flat = -np.log(BUCKETS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, texts in _groups(b.column("_text")):
-                part = b.slice(start, len(texts))
+            for start, texts in _groups(b.column(text_col)):
+                part = b.select([*carried, into]).slice(start, len(texts))
                 mean, n = model.score(texts)
                 logs = mean * (TEXT_WEIGHT * np.minimum(n, MOST_TRIGRAMS))[:, None]
                 ok = np.array([any(map(str.isalpha, t.decode())) for t in texts], bool) & ((mean.max(1) > flat) | (n < FLAT_TRIGRAMS))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(list(logs), pa.list_(pa.float64())), pa.array(ok)], [*part.schema.names[:-1], "text_logs", "explained"])
+                found = pa.StructArray.from_arrays([*part.column(into).flatten(), pa.array(list(logs), pa.list_(pa.float64())), pa.array(ok)], [*(f.name for f in part.column(into).type), "logs", "explained"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], found], [*carried, into])
 
-    d = docs.withColumn("_text", F.col(text_col))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return d.mapInArrow(work, f"{kinds}, text_logs array<double>, explained boolean")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*carried).schema.fields)
+    said = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in docs.schema[into].dataType.fields)
+    needed = list(dict.fromkeys([*carried, text_col, into]))
+    return docs.select(*needed).mapInArrow(work, f"{kinds}`{into}` struct<{said}, logs: array<double>, explained: boolean>")
 
 
 def _softmax(logs: Column) -> Column:
@@ -133,30 +138,39 @@ def _add(a: Column, b: Column) -> Column:
 
 
 def host_priors(judged: DataFrame, n: int) -> DataFrame:
-    """host, domain, host_logs: sums of the texts' posteriors by host and domain, smoothed host -> domain -> all."""
+    """host, domain, host_logs from host, domain, p, explained: sums of the texts' posteriors by host and domain, smoothed
+    host -> domain -> all."""
     sums = [F.sum(F.when(F.col("explained"), F.col("p")[i]).otherwise(0.0)).alias(f"s{i}") for i in range(n)]
-    hosts = judged.groupBy("_host", "_domain").agg(*sums)
+    hosts = judged.groupBy("host", "domain").agg(*sums)
     up = lambda by: hosts.groupBy(*by).agg(*(F.sum(f"s{i}").alias(f"{'_'.join(by) or 'all'}{i}") for i in range(n)))
-    d = hosts.join(up(["_domain"]), "_domain").crossJoin(F.broadcast(up([])))  # the totals: one row
+    d = hosts.join(up(["domain"]), "domain").crossJoin(F.broadcast(up([])))  # the totals: one row
     plus = lambda cols: sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
-    every, dom, host = ([f"{k}{i}" for i in range(n)] for k in ("all", "_domain", "s"))
+    every, dom, host = ([f"{k}{i}" for i in range(n)] for k in ("all", "domain", "s"))
     base = [(F.col(c) + 1.0) / (plus(every) + float(n)) for c in every]
     mid = [(F.col(c) + DOMAIN_STRENGTH * b) / (plus(dom) + DOMAIN_STRENGTH) for c, b in zip(dom, base, strict=True)]
     low = [(F.col(c) + HOST_STRENGTH * b) / (plus(host) + HOST_STRENGTH) for c, b in zip(host, mid, strict=True)]
-    return d.select("_host", "_domain", F.array(*(F.log(x) for x in low)).alias("host_logs"))
+    return d.select("host", "domain", F.array(*(F.log(x) for x in low)).alias("host_logs"))
+
+
+ADDED = ("language", "posterior", "text_language", "rejected")
 
 
 def identify(
-    docs: DataFrame, model: TextModel, text: str = "text", host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, declared: Column | None = None
-) -> DataFrame:
-    """docs with language, posterior, text_language and rejected."""
-    names, n = [c for c in docs.columns if c not in ("language", "posterior", "text_language", "rejected")], len(model.languages)
-    void = F.lit("")
-    d = docs.select(*names, F.coalesce(host, void).alias("_host") if host is not None else void.alias("_host"), F.coalesce(domain, void).alias("_domain") if domain is not None else void.alias("_domain"),
-                    (suffix if suffix is not None else F.lit(None).cast("string")).alias("_suffix"), (declared if declared is not None else F.lit(None).cast("string")).alias("_declared"))
-    judged = Scratch(docs.sparkSession, "language").cut(text_evidence(d, model, text).withColumn("p", _softmax(F.col("text_logs"))))
-    priors = host_priors(judged, n)
-    j = judged.join(priors, ["_host", "_domain"], "left")
+    docs: DataFrame, model: TextModel, text: str = "text", host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, declared: Column | None = None,
+    carried: list[str] | None = None,
+) -> DataFrame:
+    """The carried columns (by default all of docs) with language, posterior, text_language and rejected in place of any of these names."""
+    names, n = [c for c in (docs.columns if carried is None else carried) if c.lower() not in ADDED], len(model.languages)
+    own = "_evidence"  # the only name beside those of docs: longer than any of them that begins like it
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    said = [(F.coalesce(x, F.lit("")) if x is not None else F.lit("")).alias(k) for k, x in (("host", host), ("domain", domain))]
+    said += [(x if x is not None else F.lit(None).cast("string")).alias(k) for k, x in (("suffix", suffix), ("declared", declared))]
+    d = text_evidence(docs.withColumn(own, F.struct(*said)), model, text, own, names)
+    e = F.col(own)
+    judged = Scratch(docs.sparkSession, "language").cut(d.withColumn(own, e.withField("p", _softmax(e["logs"]))))
+    priors = host_priors(judged.select(f"{own}.*"), n).select(*(F.col(c).alias(f"{own}_{c}") for c in ("host", "domain", "host_logs")))
+    j = judged.join(priors, (e["host"] == F.col(f"{own}_host")) & (e["domain"] == F.col(f"{own}_domain")), "left")
     known = F.array(*map(F.lit, model.languages))
     hints = F.create_map(*(F.lit(x) for kv in SUFFIXES.items() for x in kv))
 
@@ -165,28 +179,30 @@ def identify(
         wrong = (1.0 - right) / max(n - 1, 1)
         return F.transform(known, lambda x: F.when(given & (x == value), F.log(F.lit(right))).when(given, F.log(F.lit(wrong))).otherwise(F.lit(0.0)))
 
-    logs = F.col("text_logs")
-    for more in (F.col("host_logs"), hint(F.lower(F.substring("_declared", 1, 2)), DECLARED_RIGHT), hint(hints[F.col("_suffix")], SUFFIX_RIGHT)):
+    logs = e["logs"]
+    for more in (F.col(f"{own}_host_logs"), hint(F.lower(F.substring(e["declared"], 1, 2)), DECLARED_RIGHT), hint(hints[e["suffix"]], SUFFIX_RIGHT)):
         logs = _add(logs, more)
-    j = j.withColumn("_p", _softmax(logs)).withColumn("posterior", F.array_max("_p"))
-    best = known[F.array_position("_p", F.col("posterior")).cast("int") - 1]
-    rejected = ~F.col("explained") | (F.col("posterior") < LEAST_POSTERIOR)
-    spoken = known[F.array_position("p", F.array_max("p")).cast("int") - 1]
-    return j.select(*names, F.when(rejected, UNDETERMINED).otherwise(best).alias("language"), "posterior", spoken.alias("text_language"), rejected.alias("rejected"))
+    best = lambda p: known[F.array_position(p, F.array_max(p)).cast("int") - 1]  # noqa: E731  the first of equals
+    j = j.select(*names, F.struct(_softmax(logs).alias("fused"), e["p"].alias("p"), e["explained"].alias("explained")).alias(own))
+    j = j.select(*names, F.struct(F.col(f"{own}.*"), F.array_max(f"{own}.fused").alias("posterior")).alias(own))
+    rejected = ~e["explained"] | (e["posterior"] < LEAST_POSTERIOR)
+    return j.select(*names, F.when(rejected, UNDETERMINED).otherwise(best(e["fused"])).alias("language"), e["posterior"].alias("posterior"), best(e["p"]).alias("text_language"), rejected.alias("rejected"))
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
+def identify_documents(docs: DataFrame, carried: list[str] | None = None) -> DataFrame:
     """documents: the source stands for the host; a declaration in the text's own markup counts, the label column does not."""
     model = TextModel.fit(docs)
-    return identify(docs, model, "text", host=F.col("source"), declared=F.nullif(F.regexp_extract("text", r"<html[^>]{0,200}\blang=[\"']?([A-Za-z]{2})", 1), F.lit("")))
+    return identify(docs, model, "text", host=F.col("source"), carried=carried, declared=F.nullif(F.regexp_extract("text", r"<html[^>]{0,200}\blang=[\"']?([A-Za-z]{2})", 1), F.lit("")))
 
 
 def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
     """pages: host, domain and suffix from the address, the declared language from the markup, the text without tags."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1))
-    bare = pages.withColumn("_plain", F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " "))
-    out = identify(
-        bare, model, "_plain", host=host, domain=F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), suffix=F.nullif(F.regexp_extract(host, r"\.([a-z]{2})$", 1), F.lit("")),
-        declared=F.nullif(F.regexp_extract("html", r"<html[^>]{0,200}\blang=[\"']?([A-Za-z]{2})", 1), F.lit("")),
+    plain = "_plain"
+    while plain in map(str.lower, pages.columns):
+        plain += "_"
+    bare = pages.withColumn(plain, F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " "))
+    return identify(
+        bare, model, plain, host=host, domain=F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), suffix=F.nullif(F.regexp_extract(host, r"\.([a-z]{2})$", 1), F.lit("")),
+        declared=F.nullif(F.regexp_extract("html", r"<html[^>]{0,200}\blang=[\"']?([A-Za-z]{2})", 1), F.lit("")), carried=pages.columns,
     )
-    return out.drop("_plain")

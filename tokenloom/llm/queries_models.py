@@ -13,8 +13,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return language_id.identify_documents(docs).select("doc_id", "language", "posterior", "text_language", "rejected")
+    return language_id.identify_documents(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "language", "posterior", "text_language", "rejected")
 
 
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
