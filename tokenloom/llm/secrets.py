@@ -1,11 +1,15 @@
-"""Secret scans through trigram queries.
+"""Secret scans through a trigram inverted index.
 
-From each rule's regex a Boolean query over trigrams is derived (an OR of ANDs that every match must satisfy). The index holds,
-for each document, on which of the queried trigrams' posting lists it stands, as a bitmap; intersecting and uniting postings is
-AND and OR of bits, and only candidates meet the regex. A rule without a mandatory trigram scans every text.
+From each rule's regex a Boolean query over trigrams is derived (an OR of ANDs that every match must satisfy). The index is a table
+of postings: a row for each queried trigram and each text that holds it, texts known by their hash, sorted by trigram within files.
+An AND takes the postings of its trigrams and intersects them: grouped by text, those stay that stand in every list. What any AND of
+a rule leaves are the rule's candidates; they meet the texts again by hash, and only they meet the regex. A rule without a
+mandatory trigram scans every text. Two texts with one hash share their postings, so they are candidates once too often at worst.
 
 Spans count code points, end exclusive. Defined cases: null text counts as empty; a text without matches has empty lists; equal
-rows are all kept; an empty table gives an empty result. Letters in a rule marked ``nocase`` match ASCII letters of either case.
+rows are all kept; spans that begin at one place stand in the order of the rules; texts of any length are scanned whole; an empty
+table gives an empty result; other columns are kept whatever their names, one named secret_spans is replaced. Letters in a rule
+marked ``nocase`` match ASCII letters of either case.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm.scratch import Scratch
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -117,63 +123,81 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 
 
 class TrigramIndex:
-    """Posting bitmaps over the trigrams that some rule asks for."""
+    """Postings over the trigrams that some rule asks for."""
 
     def __init__(self, rules: tuple[Rule, ...]):
-        self.queries = {r.kind: trigram_query(r.pattern) for r in rules}
+        self.rules, self.queries = rules, {r.kind: trigram_query(r.pattern) for r in rules}
         self.trigrams = sorted({t for q in self.queries.values() for a in q for t in a})
-        if len(self.trigrams) > 63:
-            raise ValueError("more than 63 trigrams: split the rules into two passes")
-
-    def postings(self, text: Column) -> Column:
-        low, bits = F.lower(text), F.lit(0).cast("long")
-        for i, t in enumerate(self.trigrams):
-            bits = bits.bitwiseOR(F.when(F.contains(low, F.lit(t)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-        return bits
-
-    def candidate(self, kind: str, postings: Column) -> Column:
-        if not self.queries[kind]:
-            return F.lit(True)
-        out = F.lit(False)
-        for ands in self.queries[kind]:
-            bits = F.lit(sum(1 << self.trigrams.index(t) for t in ands)).cast("long")
-            out = out | (postings.bitwiseAND(bits) == bits)
-        return out
+        if len(rules) > 63 or any(len(a) > 63 for q in self.queries.values() for a in q):
+            raise ValueError("more than 63 rules, or trigrams in one conjunction: scan in several passes")
+
+    def postings(self, texts: DataFrame) -> DataFrame:
+        """trigram, text_hash of texts (text_hash, text)."""
+        low = texts.select("text_hash", F.lower("text").alias("low"))
+        held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in self.trigrams)))
+        return low.select(F.explode(held).alias("trigram"), "text_hash").sortWithinPartitions("trigram")
+
+    def candidates(self, postings: DataFrame) -> DataFrame:
+        """text_hash, rules (bit i: rule i may match)."""
+        asked = [(t, f"{r.kind}:{j}", 1 << k, (1 << len(ands)) - 1, 1 << i)
+                 for i, r in enumerate(self.rules) for j, ands in enumerate(self.queries[r.kind]) for k, t in enumerate(sorted(ands))]
+        queries = postings.sparkSession.createDataFrame(asked, "trigram string, query string, bit long, every long, rule long")
+        lists = postings.where(F.col("trigram").isin(self.trigrams)).join(F.broadcast(queries), "trigram")  # as many rows as the rules have trigrams
+        met = lists.groupBy("text_hash", "query", "every", "rule").agg(F.bit_or("bit").alias("got")).where("got = every")
+        return met.groupBy("text_hash").agg(F.bit_or("rule").alias("rules"))
 
 
 _SPANS = "array<struct<start:bigint,kind_order:int,end:bigint,kind:string>>"
+SPAN_BLOCK = 256  #: matches that are added up in one array at a time
 
 
 def _spans(rule: Rule, order: int, text: Column, found: Column) -> Column:
-    """Spans of the matches: the text between them tells where they stand."""
+    """Spans of the matches: the text between them tells where they stand. Lengths are added up within blocks of matches, then over
+    the blocks."""
     sized = F.arrays_zip(
         F.transform(F.split(text, rule.java, -1), lambda x: F.length(x).cast("long")).alias("gap"),
         F.transform(found, lambda x: F.length(x).cast("long")).alias("len"),
         (F.transform(F.regexp_extract_all(text, F.lit(rule.java), F.lit(rule.group)), F.length) if rule.group else F.transform(found, F.length)).alias("part"),
     )
-    out = F.aggregate(
-        F.filter(sized, lambda x: x["len"].isNotNull()),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["len"]).alias("at"),
-            F.when(x["part"] < rule.least, s["spans"]).otherwise(F.concat(s["spans"], F.array(F.struct(
-                (s["at"] + x["gap"]).alias("start"), F.lit(order).alias("kind_order"),
-                (s["at"] + x["gap"] + x["len"]).alias("end"), F.lit(rule.kind).alias("kind"))))).alias("spans"),
-        ),
-    )["spans"]
-    return F.when(F.size(found) > 0, out).otherwise(F.array().cast(_SPANS))
+    sized = F.filter(sized, lambda x: x["len"].isNotNull())
+    span = lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(order).alias("kind_order"), (at + x["gap"] + x["len"]).alias("end"), F.lit(rule.kind).alias("kind"))
+    none = F.array().cast(_SPANS)
+
+    def block(k: Column) -> Column:
+        return F.aggregate(
+            F.slice(sized, k * SPAN_BLOCK + 1, SPAN_BLOCK),
+            F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")),
+            lambda s, x: F.struct((s["at"] + x["gap"] + x["len"]).alias("at"), F.when(x["part"] < rule.least, s["spans"]).otherwise(F.concat(s["spans"], F.array(span(s["at"], x)))).alias("spans")),
+        )
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / SPAN_BLOCK).cast("int")), block)
+    moved = lambda base, spans: F.transform(spans, lambda x: F.struct((base + x["start"]).alias("start"), x["kind_order"].alias("kind_order"), (base + x["end"]).alias("end"), x["kind"].alias("kind")))
+    whole = F.aggregate(
+        blocks,
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPANS}>").alias("parts")),
+        lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.concat(s["parts"], F.array(moved(s["at"], b["spans"]))).alias("parts")),
+        lambda s: F.flatten(s["parts"]),
+    )
+    return F.when(F.size(found) > 0, whole).otherwise(none)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """docs with secret_spans (sorted by start, then kind as listed), in place of a column of that name."""
-    index = TrigramIndex(rules)
-    names = [c for c in docs.columns if c != "secret_spans"]
-    out = docs.select(*names, F.struct(F.coalesce(text_col, F.lit("")).alias("text")).alias("_s"))
-    out = out.withColumn("_s", F.struct("_s.text", index.postings(F.col("_s.text")).alias("bits")))
-    found = [F.when(index.candidate(r.kind, F.col("_s.bits")), F.regexp_extract_all(F.col("_s.text"), F.lit(r.java), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"f{i}") for i, r in enumerate(rules)]
-    out = out.withColumn("_s", F.struct("_s.text", *found))
-    spans = [_spans(r, i, F.col("_s.text"), F.col(f"_s.f{i}")) for i, r in enumerate(rules)]
-    return out.withColumn("secret_spans", F.array_sort(F.concat(*spans))).drop("_s")
+    index, own = TrigramIndex(rules), "_scan"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    text = F.coalesce(text_col, F.lit(""))
+    postings = Scratch(docs.sparkSession, "trigrams").cut(index.postings(docs.select(F.xxhash64(text).alias("text_hash"), text.alias("text"))))
+    candidates = index.candidates(postings).select(F.col("text_hash").alias(f"{own}_hash"), F.col("rules").alias(f"{own}_rules"))
+    names = [c for c in docs.columns if c.lower() != "secret_spans"]
+    out = docs.join(candidates, F.xxhash64(text) == F.col(f"{own}_hash"), "left")
+    out = out.select(*names, F.struct(text.alias("text"), F.coalesce(f"{own}_rules", F.lit(0)).alias("rules")).alias(own))
+    held, bits = F.col(f"{own}.text"), F.col(f"{own}.rules")
+    meets = lambda i, r: bits.bitwiseAND(F.lit(1 << i).cast("long")) != 0 if index.queries[r.kind] else F.lit(True)
+    found = [F.when(meets(i, r), F.regexp_extract_all(held, F.lit(r.java), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"f{i}") for i, r in enumerate(rules)]
+    out = out.withColumn(own, F.struct(held.alias("text"), *found))
+    spans = [_spans(r, i, held, F.col(f"{own}.f{i}")) for i, r in enumerate(rules)]
+    return out.withColumn("secret_spans", F.array_sort(F.concat(*spans))).drop(own)
 
 
 def render_spans(spans: Column) -> Column:
@@ -182,16 +206,19 @@ def render_spans(spans: Column) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
     """docs with each stretch of text under a span replaced by ``[kind]`` (of the first span there), n_chars counted anew."""
+    if clash := [c for c in docs.columns if c.lower() == "secret_spans"]:  # a column of the table: it stays
+        return redact(docs.withColumnRenamed(clash[0], "_own_spans"), rules).withColumnRenamed("_own_spans", clash[0]).select(*docs.columns)
     found = find_secrets(docs, rules)
+    part = "array<struct<start:bigint,len:bigint,kind:string>>"
+    shown = lambda start, size: F.substring(F.col("text"), (start + 1).cast("int"), size.cast("int"))
     clean = F.aggregate(
         "secret_spans",
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(part).alias("parts")),
         lambda s, x: F.struct(
             F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(
-                s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit("["), x["kind"], F.lit("]"))).alias("out"),
+            F.when(x["start"] < s["at"], s["parts"]).otherwise(F.concat(s["parts"], F.array(F.struct(s["at"].alias("start"), (x["start"] - s["at"]).alias("len"), x["kind"].alias("kind"))))).alias("parts"),
         ),
-        lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
+        lambda s: F.concat(F.array_join(F.transform(s["parts"], lambda p: F.concat(shown(p["start"], p["len"]), F.lit("["), p["kind"], F.lit("]"))), ""), F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))),
     )
     found = found.withColumn("text", F.when(F.size("secret_spans") > 0, clean).otherwise(F.col("text")))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
