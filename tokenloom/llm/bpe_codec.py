@@ -22,7 +22,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tokenloom.operators.batch import Memo, encode_texts, groups, stretches
 
@@ -260,9 +259,14 @@ def codec_of(spec: bytes) -> Codec:
     return _codecs[key]
 
 
-def _map(df: DataFrame, text_col: str, path: str, extra: str, names: list[str], columns) -> DataFrame:
-    """df with more columns: columns(codec, ids, ends) for each group of texts."""
+def _listed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _map(df: DataFrame, text_col: str, path: str, extra: str, names: list[str], columns, drop: bool = False) -> DataFrame:
+    """df, without the text if ``drop``, with more columns: columns(codec, ids, ends, texts) for each group of texts."""
     spec = df.sparkSession.sparkContext.broadcast(open(path, "rb").read())  # one vocabulary file: of a fixed size
+    kept = [c for c in df.columns if not (drop and c == text_col)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(spec.value)
@@ -270,46 +274,45 @@ def _map(df: DataFrame, text_col: str, path: str, extra: str, names: list[str],
             for b in batches:
                 start = 0
                 for texts in groups(b.column(text_col)):
-                    part = b.slice(start, len(texts))
+                    part = b.slice(start, len(texts)).select(kept)
                     start += len(texts)
-                    yield pa.RecordBatch.from_arrays([*part.columns, *columns(codec, *codec.encode_texts(pc.fill_null(texts, "")))], [*part.schema.names, *names])
+                    texts = pc.fill_null(texts, "")
+                    yield pa.RecordBatch.from_arrays([*part.columns, *columns(codec, *codec.encode_texts(texts), texts)], [*kept, *names])
         finally:
             codec.forget()
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(work, f"{kinds}, {extra}")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*kept).schema.fields)
+    return df.mapInArrow(work, kinds + extra)
 
 
 def encode_decode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Adds token_ids (array<int>), n_tokens and decoded to the columns of df, in place of any of these names."""
 
-    def columns(c: Codec, ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
-        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
-        return [listed, pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(c.decode_texts(ids, ends), pa.string())]
+    def columns(c: Codec, ids: np.ndarray, ends: np.ndarray, _) -> list[pa.Array]:
+        return [_listed(ids, ends), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(c.decode_texts(ids, ends), pa.string())]
 
     return _map(df.drop("token_ids", "n_tokens", "decoded"), text_col, path, "token_ids array<int>, n_tokens long, decoded string", ["token_ids", "n_tokens", "decoded"], columns)
 
 
 def encoded(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """df with token_ids, n_tokens and round_trips (decoding gives the text back), in place of any of these names; the decoded text
-    stays in the worker."""
+    """df without text_col, with token_ids, n_tokens and round_trips (decoding gives the text back, null as empty) in place of any of
+    these names; neither text nor decoded text comes back from the worker."""
 
-    def columns(c: Codec, ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
-        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
-        return [listed, pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(c.decode_texts(ids, ends), pa.string())]
+    def columns(c: Codec, ids: np.ndarray, ends: np.ndarray, texts: pa.Array) -> list[pa.Array]:
+        same = [a == b for a, b in zip(c.decode_texts(ids, ends), texts.to_pylist(), strict=True)]
+        return [_listed(ids, ends), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(same, pa.bool_())]
 
-    out = _map(df.drop("token_ids", "n_tokens", "round_trips"), text_col, path, "token_ids array<int>, n_tokens long, round_trips string", ["token_ids", "n_tokens", "round_trips"], columns)
-    return out.withColumn("round_trips", F.col("round_trips") == F.coalesce(text_col, F.lit("")))
+    new = ["token_ids", "n_tokens", "round_trips"]
+    return _map(df.drop(*new), text_col, path, "token_ids array<int>, n_tokens long, round_trips boolean", new, columns, drop=True)
 
 
 def digests(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; ids and decoded text never leave the worker."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
-    def columns(c: Codec, ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
+    def columns(c: Codec, ids: np.ndarray, ends: np.ndarray, _) -> list[pa.Array]:
         raw = memoryview(ids.astype("<u4").tobytes())
         own = [sha(raw[4 * a : 4 * b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         return [pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(own, pa.string()), pa.array([sha(t.encode()) for t in c.decode_texts(ids, ends)], pa.string())]
 
-    out = _map(df.select("doc_id", text_col), text_col, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"], columns)
-    return out.drop(text_col)
+    return _map(df.select("doc_id", text_col), text_col, path, "n_tokens long, ids_sha256 string, decoded_sha256 string", ["n_tokens", "ids_sha256", "decoded_sha256"], columns, drop=True)

@@ -9,7 +9,9 @@ Ranks and running sums are taken in two levels (within a slice, plus the sum of
 a third of everything is spread over ``SLICES`` groups.
 
 Defined cases: null text has size 0; a null source is a source of its own and comes last; documents of size 0 are returned with
-taken 0; equal rows, also of one doc_id, are documents of their own; an empty table gives an empty result.
+taken 0; equal rows, also of one doc_id, are documents of their own, and stand in the order of the table's rows where their shuffling
+keys tie; a text of any length is one document, cut into blocks; an empty table gives an empty result; other columns are kept by
+``mixed_documents`` whatever their names.
 """
 
 from __future__ import annotations
@@ -101,7 +103,7 @@ def shuffled(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(pieces, documents). pieces: slot, source, block, row_id, doc_id, words, first: which words of which document a slot takes.
+    """(pieces, documents). pieces: slot, source, block, row_id, doc_id, pass, words, first: which words of which document a slot takes.
     documents: row_id, doc_id, source, size, source_size, target, start. row_id numbers the rows of docs."""
     scratch = Scratch(docs.sparkSession, "mixing")
     sizes = docs.select("doc_id", "source", word_count("text").alias("size"), F.monotonically_increasing_id().alias("row_id"))
@@ -112,11 +114,11 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, Dat
     n_slots, small = -(-total // block_words), F.col("target") < EXACT_BLOCKS * block_words
     slots = schedule(goals.where(~small), n_slots).withColumn("most", F.lit(None).cast("long"))
     slots = slots.unionByName(exact(goals.where(small), n_slots, block_words))
-    passes = out.where("size > 0").withColumn("at", F.explode(F.transform(F.array(*map(F.lit, range(MOST_REPEATS))), lambda k: F.col("start") + k * F.col("source_size"))))
+    passes = out.where("size > 0").withColumn("pass", F.explode(F.array(*map(F.lit, range(MOST_REPEATS))))).withColumn("at", F.col("start") + F.col("pass") * F.col("source_size"))
     blocks = passes.withColumn("block", F.explode(F.sequence(F.expr(f"at div {block_words}"), F.expr(f"(at + size - 1) div {block_words}"))))
     first = F.greatest(F.col("at"), F.col("block") * block_words)
     words = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words) - first
-    blocks = blocks.select("source", F.col("block").alias("rank"), "row_id", "doc_id", words.alias("words"), (first - F.col("at")).alias("first"), first.alias("_from"))
+    blocks = blocks.select("source", F.col("block").alias("rank"), "row_id", "doc_id", "pass", words.alias("words"), (first - F.col("at")).alias("first"), first.alias("_from"))
     pieces = _join(blocks, slots, ["source", "rank"]).withColumn("words", F.least("words", F.col("most") - F.col("_from"))).where("words > 0")
     return pieces.drop("most", "_from").withColumnRenamed("rank", "block"), out
 
@@ -128,11 +130,26 @@ def taken(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return out.join(sums, "row_id", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def _first_words(text, n) -> F.Column:
+    """The text up to its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), n), "")
+
+
 def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows of docs as often as the mix takes them: taken over size, rounded, and once at least if any of its words are taken."""
-    numbered = Scratch(docs.sparkSession, "mixed").cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    pieces, out = mix(numbered.withColumn("doc_id", F.col("_row")), block_words)
-    copies = F.greatest(F.lit(1), F.round(F.sum("words") / F.first("size")).cast("int"))
-    sizes = out.select("row_id", "size")
-    counts = pieces.join(sizes, "row_id").groupBy(F.col("doc_id").alias("_row")).agg(copies.alias("_n"))
-    return numbered.join(counts, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    """The words that the mix takes, in the order of its slots: a row of docs for each pass over it in which words of it are taken,
+    with those words alone (all of them but for the last document that a source's target reaches). n_chars, if there, is counted anew.
+    """
+    own = "_mix"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    numbered = Scratch(docs.sparkSession, "mixed").cut(docs.withColumn(own, F.monotonically_increasing_id()))
+    pieces, out = mix(numbered.select(F.col(own).alias("doc_id"), "source", "text"), block_words)
+    drawn = pieces.groupBy("doc_id", "pass").agg(F.sum("words").alias("words"), F.min("slot").alias("slot"))
+    drawn = drawn.join(out.select("doc_id", "size"), "doc_id").select(*(F.col(c).alias(f"{own}_{c}") for c in ("doc_id", "slot", "words", "size")))
+    taken = numbered.join(drawn, F.col(own) == F.col(f"{own}_doc_id"))
+    whole = F.col(f"{own}_words") >= F.col(f"{own}_size")
+    taken = taken.withColumn("text", F.when(whole, F.col("text")).otherwise(_first_words(F.col("text"), F.col(f"{own}_words").cast("int"))))
+    if "n_chars" in docs.columns:
+        taken = taken.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return taken.repartitionByRange(n, f"{own}_slot").sortWithinPartitions(f"{own}_slot", own).select(*docs.columns)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm import bpe_codec, chat, mixing, secrets
 
-#: The vocabulary of op7; another file of the same kind can be named here.
-BPE_FILE = os.environ.get("TOKENLOOM_BPE_FILE", "/opt/tokenizers/byte_bpe_50k.json")
+#: The vocabulary of op7; another file of the same kind can be named in the environment.
+BPE_FILE = os.environ.get("TOKENLOOM_BPE_FILE") or public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

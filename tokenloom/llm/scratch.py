@@ -4,30 +4,47 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one, but only if driver and executors are one
+    process: the executors of a cluster would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"{tempfile.gettempdir()}/tokenloom-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_collectors: list[list[Scratch]] = []
+
+
 class Scratch:
-    """Tables written under one run's folder: ``cut`` writes and reads back, ``drop`` deletes one that is no longer needed.
+    """Tables written under one run's folder: ``cut`` writes and reads back, ``drop`` deletes one that is no longer needed, ``clear``
+    all of them.
 
     A table read back has its own size in its statistics, so the planner chooses broadcasts from a measured size, and a lost
-    executor costs a reread instead of the whole lineage.
+    executor costs a reread instead of the whole lineage. A result that is read from such tables needs them until it is written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        for made in _collectors:
+            made.append(self)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -38,5 +55,18 @@ class Scratch:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df._scratch_path)
+
+    def clear(self) -> None:
+        _delete(self.spark, self.root)
+
+
+@contextmanager
+def collected() -> Iterator[list[Scratch]]:
+    """The list of all Scratch made inside: who has written the results clears them."""
+    made: list[Scratch] = []
+    _collectors.append(made)
+    try:
+        yield made
+    finally:
+        _collectors.remove(made)
