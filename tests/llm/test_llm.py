@@ -5,12 +5,13 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.llm import bpe_codec, chat, embeddings, fingerprints, language_id, minhash, mixing, quality, secrets, suffix_dedup
 
-PATH = "/opt/tokenizers/byte_bpe_50k.json"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
 
@@ -175,7 +176,7 @@ def test_bpe(docs, rows, empty):
     for r in bpe_codec.encode_decode(docs, PATH).collect():
         assert list(r.token_ids) == t.encode(r.text or "", add_special_tokens=False).ids and r.decoded == (r.text or "") and r.extra == "e"
     assert bpe_codec.digests(empty, PATH).count() == 0
-    c, rng = bpe_codec.Codec(open(PATH, "rb").read()), random.Random(4)
+    c, rng = bpe_codec.Codec.load(PATH), random.Random(4)
     for _ in range(500):
         s = "".join(rng.choices(["a", "aa", " ", "  ", "\n", "th", "ing", "é", "中", "1", "<|endoftext|>", "'s", "՘"], k=rng.randint(0, 30)))
         assert np.frombuffer(c.encode_batch([s])[0], "<u4").tolist() == t.encode(s, add_special_tokens=False).ids

@@ -27,8 +27,10 @@ from tokenloom.operators.batch import Memo, encode_texts, groups, stretches
 
 #: The split pattern of byte-level tokenizers of this family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words of at most MEMO_WORD characters; some 200 bytes each with their ids, so 30 MB for a worker at most.
-MEMO_ENTRIES, MEMO_WORD = 150_000, 64
+#: Words of at most MEMO_WORD characters; some 200 bytes each with their ids, so 12 MB for a worker at most.
+MEMO_ENTRIES, MEMO_WORD = 60_000, 64
+ID_BITS = 24  #: of a merge's value: its rank above, the token that it makes below
+LOW_BITS = (1 << ID_BITS) - 1
 SCAN = 32  #: bytes up to which the merge loop scans a list
 NEVER = np.int64(1) << 40
 #: Code points that this regex module calls letters, marks or numbers and the tokenizers library does not yet.
@@ -50,46 +52,63 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def tables(spec: bytes) -> dict:
+    """What a codec needs of a tokenizers file with a ByteLevel pre-tokenizer, BPE model and added tokens, in a few arrays."""
+    d = json.loads(spec)
+    model, alphabet = d["model"], byte_alphabet()
+    special = {x["content"]: x["id"] for x in d["added_tokens"]}
+    bytes_of = {i: bytes(alphabet[c] for c in t) for t, i in model["vocab"].items() if t not in special}
+    n = max([*bytes_of, *special.values()]) + 1
+    token = [bytes_of.get(i) for i in range(n)]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    pairs = np.array([(model["vocab"][a], model["vocab"][b], model["vocab"][a + b]) for a, b in pairs], np.int64).reshape(-1, 3)
+    left, right, rank = (np.full(n, -1, np.int64) for _ in range(3))
+    left[pairs[::-1, 2]], right[pairs[::-1, 2]], rank[pairs[::-1, 2]] = pairs[::-1, 0], pairs[::-1, 1], np.arange(len(pairs))[::-1]
+    return {"special": special, "token": b"".join(t or b"" for t in token), "size": np.array([-1 if t is None else len(t) for t in token], np.int32), "pairs": pairs, "left": left, "right": right, "rank": rank}
+
+
 class Codec:
-    """spec: the bytes of a tokenizers file with a ByteLevel pre-tokenizer, BPE model and added tokens."""
-
-    def __init__(self, spec: bytes, memo_entries: int = MEMO_ENTRIES):
-        d = json.loads(spec)
-        model, alphabet = d["model"], byte_alphabet()
-        raw = lambda token: bytes(alphabet[c] for c in token)
-        self.special = {x["content"]: x["id"] for x in d["added_tokens"]}
-        self.bytes_of = {i: raw(t) for t, i in model["vocab"].items()} | {i: s.encode() for s, i in self.special.items()}
-        self.id_of = {raw(t): i for t, i in model["vocab"].items() if t not in self.special}
-        n = self.size = max(self.bytes_of) + 1
-        self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-        self.rank = np.full(n, -1, np.int64)
-        pairs, self.merges = [], {}
-        for r, m in enumerate(model["merges"]):
-            a, b = m if isinstance(m, list) else m.split(" ")
-            a, b, c = model["vocab"][a], model["vocab"][b], model["vocab"][a + b]
-            pairs.append(a * n + b)
-            self.merges[a, b] = (r, c)
-            if self.left[c] < 0:
-                self.left[c], self.right[c], self.rank[c] = a, b, r
-        order = np.argsort(pairs)
-        self.pair_key, self.pair_rank = np.array(pairs, np.int64)[order], order.astype(np.int64)
+    """An encoder and decoder from tables(); they are small, as every Python worker holds one."""
+
+    def __init__(self, t: dict, memo_entries: int = MEMO_ENTRIES):
+        self.special = t["special"]
+        width = t["size"].astype(np.int64)
+        n = self.size = len(width)
+        ends = np.cumsum(np.maximum(width, 0)).tolist()
+        numbers = list(range(n))
+        self.id_of = {t["token"][e - w : e]: i for i, w, e in zip(numbers, width.tolist(), ends, strict=True) if w >= 0}
+        self.left, self.right, self.rank = t["left"], t["right"], t["rank"]
+        pairs = t["pairs"]
+        self.merges = {(numbers[a], numbers[b]): r << ID_BITS | c for r, (a, b, c) in enumerate(pairs.tolist())}
+        keys = pairs[:, 0] * n + pairs[:, 1]
+        order = np.argsort(keys)
+        self.pair_key, self.pair_rank = keys[order], order.astype(np.int64)
         self.byte_id = [self.id_of.get(bytes([b]), -1) for b in range(256)]
         self.longest = [0] * 256
         for b in self.id_of:
             self.longest[b[0]] = max(self.longest[b[0]], len(b))
-        made = np.flatnonzero(self.rank >= 0)
-        whole = np.ones(n, bool)
-        fine = self.apart(self.left[made], self.right[made], self.rank[made])
-        for c, ok in sorted(zip(made.tolist(), fine.tolist(), strict=True), key=lambda x: self.rank[x[0]]):
-            whole[c] = ok and whole[self.left[c]] and whole[self.right[c]]
-        self.whole = whole
+        if "whole" in t:
+            self.whole = t["whole"]
+        else:
+            made = np.flatnonzero(self.rank >= 0)
+            self.whole = np.ones(n, bool)
+            fine = self.apart(self.left[made], self.right[made], self.rank[made])
+            for c, ok in sorted(zip(made.tolist(), fine.tolist(), strict=True), key=lambda x: self.rank[x[0]]):
+                self.whole[c] = ok and self.whole[self.left[c]] and self.whole[self.right[c]]
+            t["whole"] = self.whole
         self.memo = Memo(memo_entries, MEMO_WORD)
         self.split = regex.compile(SPLIT).findall
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        tokens = [self.bytes_of.get(i, b"") for i in range(n)]
-        self.flat, self.width = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
+        names = {i: s.encode() for s, i in self.special.items()}
+        tokens = [names.get(i, t["token"][e - max(w, 0) : e]) for i, w, e in zip(numbers, width.tolist(), ends, strict=True)]
+        self.flat, self.width = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(x) for x in tokens], np.int64)
         self.begin = np.cumsum(self.width) - self.width
 
+    @classmethod
+    def load(cls, path: str) -> Codec:
+        with open(path, "rb") as f:
+            return cls(tables(f.read()))
+
     def pair_ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         key = x * self.size + y
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
@@ -133,37 +152,39 @@ class Codec:
         return self._scan(ids) if len(ids) <= SCAN else self._heap(ids)
 
     def _scan(self, ids: list[int]) -> list[int]:
-        get, none = self.merges.get, (1 << 40, -1)
+        get, none = self.merges.get, 1 << 62
         pairs = [get(p, none) for p in zip(ids, ids[1:], strict=False)]
-        while pairs and (low := min(pairs)) is not none:
+        while pairs and (low := min(pairs)) != none:
             i = pairs.index(low)
-            ids[i : i + 2] = [low[1]]
+            made = low & LOW_BITS
+            ids[i : i + 2] = [made]
             del pairs[i]
             if i < len(pairs):
-                pairs[i] = get((low[1], ids[i + 1]), none)
+                pairs[i] = get((made, ids[i + 1]), none)
             if i:
-                pairs[i - 1] = get((ids[i - 1], low[1]), none)
+                pairs[i - 1] = get((ids[i - 1], made), none)
         return ids
 
     def _heap(self, ids: list[int]) -> list[int]:
         """The same by a heap over a linked list, for words of any length."""
         n, get = len(ids), self.merges.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b, c = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
+            c = m & LOW_BITS
             ids[i], ids[j], k = c, -1, after[j]
             after[i] = k
             if k < n:
                 before[k] = i
-                if m := get((c, ids[k])):
-                    heapq.heappush(heap, (m[0], i, c, ids[k], m[1]))
-            if (p := before[i]) >= 0 and (m := get((ids[p], c))):
-                heapq.heappush(heap, (m[0], p, ids[p], c, m[1]))
+                if (m := get((c, ids[k]))) is not None:
+                    heapq.heappush(heap, (m, i, c, ids[k]))
+            if (p := before[i]) >= 0 and (m := get((ids[p], c))) is not None:
+                heapq.heappush(heap, (m, p, ids[p], c))
         return [t for t in ids if t >= 0]
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
@@ -251,29 +272,36 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def codec_of(spec: bytes) -> Codec:
+def codec_of(key: str, packed: dict) -> Codec:
     """One codec per Python worker and file; its memo goes at the end of a task."""
-    key = hashlib.sha256(spec).hexdigest()
     if key not in _codecs:
-        _codecs[key] = Codec(spec)
+        _codecs[key] = Codec(packed)
     return _codecs[key]
 
 
+#: Bytes of text that are encoded together.
+GROUP_BYTES = 1_000_000
+
+
 def _listed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
 
 
 def _map(df: DataFrame, text_col: str, path: str, extra: str, names: list[str], columns, drop: bool = False) -> DataFrame:
     """df, without the text if ``drop``, with more columns: columns(codec, ids, ends, texts) for each group of texts."""
-    spec = df.sparkSession.sparkContext.broadcast(open(path, "rb").read())  # one vocabulary file: of a fixed size
+    with open(path, "rb") as f:
+        spec = f.read()
+    key, packed = hashlib.sha256(spec).hexdigest(), tables(spec)
+    packed["whole"] = Codec(packed).whole
+    shared = df.sparkSession.sparkContext.broadcast(packed)  # one vocabulary: of a fixed size
     kept = [c for c in df.columns if not (drop and c == text_col)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(spec.value)
+        codec = codec_of(key, shared.value)
         try:
             for b in batches:
                 start = 0
-                for texts in groups(b.column(text_col)):
+                for texts in groups(b.column(text_col), GROUP_BYTES):
                     part = b.slice(start, len(texts)).select(kept)
                     start += len(texts)
                     texts = pc.fill_null(texts, "")

@@ -49,7 +49,7 @@ def trigram_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ((code * np.uint32(2654435761)) >> np.uint32(18))[inside], owner[inside]
 
 
-def _groups(column: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, list[bytes]]]:
+def _groups(column: pa.Array, most: int = 250_000) -> Iterator[tuple[int, list[bytes]]]:
     start, some, size = 0, [], 0
     for i in range(len(column)):
         text = (column[i].as_py() or "").encode()

@@ -31,7 +31,7 @@ from tokenloom.llm.scratch import Scratch
 WORDS, THRESHOLD = 5, (80, 100)
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-BLOCK_BYTES, BLOCK_SETS = 1 << 20, 1 << 15
+BLOCK_BYTES, BLOCK_SETS = 1 << 18, 1 << 15
 UNIT_SETS = 512
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ODD, _ODD_INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -52,7 +52,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of raw[start:end], from prefix sums of a polynomial over random numbers for bytes."""
-    power, inverse = _powers(1 << max(20, int(len(raw)).bit_length()))
+    power, inverse = _powers(1 << max(18, int(len(raw)).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * power[: len(raw)])])
     return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 

@@ -44,7 +44,7 @@ def minimizers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = [minimizers(raw[a : a + MOST_AT_ONCE]) for a in range(0, len(raw) - LENGTH + 1, step)]
         at = np.concatenate([p + i * step for i, (p, _) in enumerate(parts)])
         return at, np.concatenate([h[:step] for _, h in parts[:-1]] + [parts[-1][1]])
-    power, inverse = _powers(1 << max(20, int(len(raw)).bit_length()))
+    power, inverse = _powers(1 << max(18, int(len(raw)).bit_length()))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTES[raw] * power[: len(raw)], out=sums[1:])
     n = len(raw) - GRAM + 1
