@@ -27,8 +27,9 @@ from tokenloom.operators.batch import Memo, encode_texts, groups, stretches
 
 #: The split pattern of byte-level tokenizers of this family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words of at most MEMO_WORD characters; some 200 bytes each with their ids, so 12 MB for a worker at most.
-MEMO_ENTRIES, MEMO_WORD = 60_000, 64
+#: Of words and of pieces, of at most MEMO_WORD characters; some 170 bytes each with their ids, so some 34 MB for a worker.
+MEMO_ENTRIES, MEMO_WORD = 100_000, 64
+LEAST_TIMES = 2  #: a word that occurs once in a group of texts is not remembered
 ID_BITS = 24  #: of a merge's value: its rank above, the token that it makes below
 LOW_BITS = (1 << ID_BITS) - 1
 SCAN = 32  #: bytes up to which the merge loop scans a list
@@ -84,9 +85,9 @@ class Codec:
         order = np.argsort(keys)
         self.pair_key, self.pair_rank = keys[order], order.astype(np.int64)
         self.byte_id = [self.id_of.get(bytes([b]), -1) for b in range(256)]
-        self.longest = [0] * 256
+        self.longest: dict[bytes, int] = {}  # of the tokens that begin with these three bytes, or are these one or two
         for b in self.id_of:
-            self.longest[b[0]] = max(self.longest[b[0]], len(b))
+            self.longest[b[:3]] = max(self.longest.get(b[:3], 0), len(b))
         if "whole" in t:
             self.whole = t["whole"]
         else:
@@ -96,7 +97,7 @@ class Codec:
             for c, ok in sorted(zip(made.tolist(), fine.tolist(), strict=True), key=lambda x: self.rank[x[0]]):
                 self.whole[c] = ok and self.whole[self.left[c]] and self.whole[self.right[c]]
             t["whole"] = self.whole
-        self.memo = Memo(memo_entries, MEMO_WORD)
+        self.memo, self.memo_pieces = Memo(memo_entries, MEMO_WORD, LEAST_TIMES), Memo(memo_entries, MEMO_WORD)
         self.split = regex.compile(SPLIT).findall
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         names = {i: s.encode() for s, i in self.special.items()}
@@ -137,9 +138,9 @@ class Codec:
         return result
 
     def propose(self, word: bytes) -> list[int]:
-        out, at, n, get, longest = [], 0, len(word), self.id_of.get, self.longest
+        out, at, n, get, longest = [], 0, len(word), self.id_of.get, self.longest.get
         while at < n:
-            to = min(n, at + longest[word[at]])
+            to = min(n, at + longest(word[at : at + 3], 2))
             while (t := get(word[at:to])) is None:
                 to -= 1
             out.append(t)
@@ -216,16 +217,15 @@ class Codec:
         return self.split(text)
 
     def know(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of distinct pieces."""
-        found: dict[str, bytes] = {}
-        for i in range(0, len(pieces), 50_000):
-            found |= self.learn(pieces[i : i + 50_000])
-        return found
+        """Ids of the distinct pieces among these; words that differ in a comma share theirs."""
+        kinds = list(set(pieces))
+        make = lambda new: [x for i in range(0, len(new), 50_000) for x in map(self.learn(new[i : i + 50_000]).__getitem__, new[i : i + 50_000])]
+        return dict(zip(kinds, self.memo_pieces.look_up(kinds, np.ones(len(kinds), np.int64), make), strict=True))
 
     def words_ids(self, words: list[str]) -> list[bytes]:
         """Ids of a space and each word. No word begins or ends with white space, so a piece that begins with a space begins a word."""
         pieces = self.pieces(" " + " ".join(words)) if words else []
-        found = self.know(list(set(pieces)))
+        found = self.know(pieces)
         out: list[list[bytes]] = []
         for p in pieces:
             if p[0] == " ":
@@ -242,7 +242,7 @@ class Codec:
                 out.append(self.special[x].to_bytes(4, "little"))
             else:
                 pieces = self.pieces(x)
-                found = self.know(list(set(pieces)))
+                found = self.know(pieces)
                 out += map(found.__getitem__, pieces)
         return b"".join(out)
 
@@ -265,22 +265,19 @@ class Codec:
         at = np.concatenate([[0], np.cumsum(self.width[ids])])[np.concatenate([[0], ends])].tolist()
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    def forget(self) -> None:
-        self.memo = Memo(self.memo.capacity, self.memo.longest)
-
 
 _codecs: dict[str, Codec] = {}
 
 
 def codec_of(key: str, packed: dict) -> Codec:
-    """One codec per Python worker and file; its memo goes at the end of a task."""
+    """One codec per Python worker and file, with its memos, which are bounded; its tasks share it."""
     if key not in _codecs:
         _codecs[key] = Codec(packed)
     return _codecs[key]
 
 
 #: Bytes of text that are encoded together.
-GROUP_BYTES = 1_000_000
+GROUP_BYTES = 2_000_000
 
 
 def _listed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -298,16 +295,13 @@ def _map(df: DataFrame, text_col: str, path: str, extra: str, names: list[str],
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(key, shared.value)
-        try:
-            for b in batches:
-                start = 0
-                for texts in groups(b.column(text_col), GROUP_BYTES):
-                    part = b.slice(start, len(texts)).select(kept)
-                    start += len(texts)
-                    texts = pc.fill_null(texts, "")
-                    yield pa.RecordBatch.from_arrays([*part.columns, *columns(codec, *codec.encode_texts(texts), texts)], [*kept, *names])
-        finally:
-            codec.forget()
+        for b in batches:
+            start = 0
+            for texts in groups(b.column(text_col), GROUP_BYTES):
+                part = b.slice(start, len(texts)).select(kept)
+                start += len(texts)
+                texts = pc.fill_null(texts, "")
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns(codec, *codec.encode_texts(texts), texts)], [*kept, *names])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*kept).schema.fields)
     return df.mapInArrow(work, kinds + extra)

@@ -168,8 +168,10 @@ def identify(
     said += [(x if x is not None else F.lit(None).cast("string")).alias(k) for k, x in (("suffix", suffix), ("declared", declared))]
     d = text_evidence(docs.withColumn(own, F.struct(*said)), model, text, own, names)
     e = F.col(own)
-    judged = Scratch(docs.sparkSession, "language").cut(d.withColumn(own, e.withField("p", _softmax(e["logs"]))))
-    priors = host_priors(judged.select(f"{own}.*"), n).select(*(F.col(c).alias(f"{own}_{c}") for c in ("host", "domain", "host_logs")))
+    scratch = Scratch(docs.sparkSession, "language")
+    judged = scratch.cut(d.withColumn(own, e.withField("p", _softmax(e["logs"]))))
+    # Written, so that few hosts are seen to be few and texts stay where they are.
+    priors = scratch.cut(host_priors(judged.select(f"{own}.*"), n)).select(*(F.col(c).alias(f"{own}_{c}") for c in ("host", "domain", "host_logs")))
     j = judged.join(priors, (e["host"] == F.col(f"{own}_host")) & (e["domain"] == F.col(f"{own}_domain")), "left")
     known = F.array(*map(F.lit, model.languages))
     hints = F.create_map(*(F.lit(x) for kv in SUFFIXES.items() for x in kv))
