@@ -20,13 +20,14 @@ GROUP_BYTES = 4_000_000
 class Memo:
     """What is known of pieces or words, up to ``capacity`` entries of at most ``longest`` characters; 0 disables it.
 
-    Nothing is evicted: once it is full, or for what is too long, an entry is rejected. hits and misses count occurrences.
+    Nothing is evicted: once it is full, or for what is too long, an entry is rejected. hits and misses count occurrences. Of a batch
+    of words, those that occur fewer than ``least`` times in it are not kept: they would take the place of common ones.
     """
 
-    def __init__(self, capacity: int, longest: int = 64):
+    def __init__(self, capacity: int, longest: int = 64, least: int = 1):
         if capacity < 0:
             raise ValueError("the capacity must not be negative")
-        self.capacity, self.longest = capacity, longest
+        self.capacity, self.longest, self.least = capacity, longest, least
         self.entries: dict = {}
         self.hits = self.misses = self.rejected = 0
 
@@ -64,7 +65,7 @@ class Memo:
         self.hits += int(times.sum())
         for i, v in zip(new, make([keys[i] for i in new]) if new else (), strict=True):
             out[i] = v
-            kept = self.put(keys[i], v)
+            kept = times[i] >= self.least and self.put(keys[i], v)
             self.hits -= 1 if kept else int(times[i])
             self.misses += 1 if kept else int(times[i])
         return out
