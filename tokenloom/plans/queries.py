@@ -1,4 +1,4 @@
-"""A query for each operator over the driver's tables, and DuckDB SQL where SQL says the same."""
+"""A query for each operator over the driver's tables; their SQL is in oracles.py."""
 
 from __future__ import annotations
 
@@ -31,74 +31,29 @@ def _pretokenize(pattern: str):
     return query
 
 
-# White space of the patterns, for a regex engine whose \s is ASCII; N: without line breaks.
-_W = r"\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_N = _W.replace(r"\n", "", 1).replace(r"\r", "", 1)
-_S = chr(0xE000)  # a private-use mark, before the last white space of a run with something visible after it
-_X = r"(?i:'s|'t|'re|'ve|'m|'ll|'d|'\x{17F})?"
-_SQL_PATTERNS = {
-    "gpt2": (rf"([{_W}])([{_W}][^{_W}])", rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}{_S}\p{{L}}\p{{N}}]+|[{_W}]+|{_S}"),
-    "cl100k": (rf"([{_W}])([{_N}][^{_W}])", rf"'(?i:[sdmt\x{{17F}}]|ll|ve|re)|[^\r\n{_S}\p{{L}}\p{{N}}]?\p{{L}}+|\p{{N}}{{1,3}}| ?[^{_W}{_S}\p{{L}}\p{{N}}]+[\r\n]*|[{_W}]+\z|[{_W}]*[\r\n]|[{_W}]+|{_S}"),
-    "o200k": (
-        rf"([{_W}])([{_N}][^{_W}])",
-        rf"[^\r\n{_S}\p{{L}}\p{{N}}]?[\p{{Lu}}\p{{Lt}}\p{{Lm}}\p{{Lo}}\p{{M}}]*[\p{{Ll}}\p{{Lm}}\p{{Lo}}\p{{M}}]+{_X}|[^\r\n{_S}\p{{L}}\p{{N}}]?[\p{{Lu}}\p{{Lt}}\p{{Lm}}\p{{Lo}}\p{{M}}]+[\p{{Ll}}\p{{Lm}}\p{{Lo}}\p{{M}}]*{_X}"
-        rf"|\p{{N}}{{1,3}}| ?[^{_W}{_S}\p{{L}}\p{{N}}]+[\r\n/]*|[{_W}]*[\r\n]+|[{_W}]+|{_S}",
-    ),
-}
-
-
-def _pieces_sql(pattern: str) -> str:
-    mark, split = (x.replace("'", "''") for x in _SQL_PATTERNS[pattern])
-    return rf"list_filter(regexp_extract_all(regexp_replace(text, '{mark}', '\1{_S}\2', 'g'), '{split}'), lambda s: s <> '{_S}')"
-
-
-def _pretokenize_sql(pattern: str) -> str:
-    return f"""WITH p AS (SELECT doc_id, text, {_pieces_sql(pattern)} AS p FROM documents)
-SELECT doc_id, CAST(len(p) AS BIGINT) AS n_pieces, md5(array_to_string(p, chr(1))) AS pieces_md5, CAST(strlen(text) AS BIGINT) AS n_bytes FROM p"""
-
-
 def piece_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = T.piece_ends(docs(spark, sf_dir), "gpt2")
     return d.select("doc_id", F.col("piece_ix").cast("long").alias("piece_ix"), F.col("end").alias("end_byte"))
 
 
-PIECE_ENDS_SQL = f"""WITH p AS (SELECT doc_id, {_pieces_sql("gpt2")} AS p FROM documents),
-x AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS piece_ix FROM p)
-SELECT doc_id, CAST(piece_ix AS BIGINT) AS piece_ix, CAST(sum(strlen(piece)) OVER (PARTITION BY doc_id ORDER BY piece_ix) AS BIGINT) AS end_byte FROM x"""
-
-
 def piece_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.piece_frequency(docs(spark, sf_dir), "gpt2")
 
 
-PIECE_FREQUENCY_SQL = f"SELECT piece, count(*) AS n FROM (SELECT unnest({_pieces_sql('gpt2')}) AS piece FROM documents) GROUP BY piece"
-
-
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a special token in every third one, by concatenation."""
     return docs(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("<|endoftext|>"), F.substring("text", 1, 20))).otherwise(F.col("text")))
 
 
-_MARKED_SQL = "(SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || '<|endoftext|>' || text[1:20] ELSE text END AS text FROM documents)"
-
-
 def segment_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = T.segment_rows(_marked(spark, sf_dir), encoding("gpt2"), ["<|endoftext|>"])
     return rows.select("doc_id", F.col("seg_ix").cast("long").alias("seg_ix"), F.md5("segment").alias("segment_md5"), F.col("special_id").cast("long").alias("special_id"))
 
 
-SEGMENT_SPLIT_SQL = rf"""WITH p AS (SELECT doc_id, list_filter(string_split_regex(replace(text, '<|endoftext|>', chr(57345) || '<|endoftext|>' || chr(57345)), chr(57345)), lambda s: s <> '') AS p FROM {_MARKED_SQL}),
-x AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS ix FROM p)
-SELECT doc_id, CAST(ix AS BIGINT) AS seg_ix, md5(s) AS segment_md5, CASE WHEN s = '<|endoftext|>' THEN 50256::BIGINT END AS special_id FROM x"""
-
-
 def has_disallowed_special(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).select("doc_id", T.has_disallowed(F.col("text"), encoding("gpt2")).alias("disallowed"))
 
 
-HAS_DISALLOWED_SQL = f"SELECT doc_id, contains(text, '<|endoftext|>') AS disallowed FROM {_MARKED_SQL}"
-
-
 def _count(name: str):
     return lambda spark, sf_dir: Tokenizer.load(spark, name).count_ordinary(docs(spark, sf_dir)).select("doc_id", "n_tokens")
 
@@ -108,16 +63,29 @@ def count_special(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tokenizer.load(spark, "gpt2").encode_ordinary(docs(spark, sf_dir)).select("doc_id", "ids", "n_tokens")
+    d = Tokenizer.load(spark, "gpt2").encode_ordinary(docs(spark, sf_dir))
+    return d.select("doc_id", tokens.format_ids(F.col("ids")).alias("ids"), "n_tokens")
 
 
 def encode_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tokenizer.load(spark, "gpt2").encode(_marked(spark, sf_dir), allowed=["<|endoftext|>"]).select("doc_id", "ids")
+    d = Tokenizer.load(spark, "gpt2").encode(_marked(spark, sf_dir), allowed=["<|endoftext|>"])
+    return d.select("doc_id", tokens.format_ids(F.col("ids")).alias("ids"))
+
+
+def encode_onto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of each text behind those of the special token."""
+    d = docs(spark, sf_dir).withColumn("before", F.array(F.lit(50256)))
+    return Tokenizer.load(spark, "gpt2").encode_onto(d, "before").select("doc_id", tokens.format_ids(F.col("before")).alias("ids"))
+
+
+def flat_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.flat_ids(Tokenizer.load(spark, "gpt2").encode_ordinary(docs(spark, sf_dir)).select("doc_id", "ids", "n_tokens"))
 
 
 def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tokenizer.load(spark, "gpt2")
-    return t.decode(t.encode_ordinary(docs(spark, sf_dir)).select("doc_id", "ids")).select("doc_id", "text")
+    d = t.decode(t.encode_ordinary(docs(spark, sf_dir)).select("doc_id", "ids"))
+    return d.select("doc_id", "text", F.md5(tokens.format_ids(F.col("ids"))).alias("ids_md5"))
 
 
 def token_id_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +94,8 @@ def token_id_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_bytes(spark.range(50300).select(F.col("id").cast("int").alias("token_id")), Vocabulary.load("p50k_edit"), "token_id")
+    d = tokens.token_bytes(spark.range(50300).select(F.col("id").cast("int").alias("token_id")), Vocabulary.load("p50k_edit"), "token_id")
+    return d.select("token_id", F.hex("token").alias("token"), "length", "assigned")
 
 
 def fits_ordinary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,14 +119,24 @@ def batch_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tokenizer.load(spark, "gpt2").pad(docs(spark, sf_dir), 50256, 256).select("doc_id", "ids", "mask", "length", "width")
+    """Batches of 64 doc_ids, cut to 256 tokens, each padded to its own longest."""
+    d = docs(spark, sf_dir).withColumn("batch", F.floor(F.col("doc_id") / 64))
+    d = Tokenizer.load(spark, "gpt2").pad(d, 50256, 256, batch="batch")
+    return d.select("doc_id", "batch", tokens.format_ids(F.col("ids")).alias("ids"), F.array_join(F.col("mask").cast("array<string>"), "").alias("mask"), "length", "width")
 
 
 def pad_mask_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Tokenizer.load(spark, "gpt2").pad(docs(spark, sf_dir), 50256, 256)
+    """The whole table as one batch."""
+    d = Tokenizer.load(spark, "gpt2").pad(docs(spark, sf_dir), 50256)
     return d.agg(F.count(F.lit(1)).alias("rows"), F.max("width").alias("width"), F.sum("length").alias("real"), F.sum(F.col("width") - F.col("length")).alias("padding"))
 
 
+def padded_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id and mask in places 0 and 255 of each row cut or padded to 256 tokens."""
+    d = Tokenizer.load(spark, "gpt2").pad(docs(spark, sf_dir).withColumn("text", F.concat("text", F.repeat(F.lit(" a"), 256))), 50256, 256)
+    return d.select("doc_id", *(tokens.at(F.col(c), i).cast("int").alias(f"{c}_{i}") for c in ("ids", "mask") for i in (0, 255)))
+
+
 def vocab_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name in ("gpt2", "r50k_base", "p50k_base", "p50k_edit"):
@@ -166,37 +145,21 @@ def vocab_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-VOCAB_SUMMARY_SQL = """SELECT * FROM (VALUES ('gpt2', 50257::BIGINT, 50256::BIGINT, 50256::BIGINT, 1::BIGINT), ('r50k_base', 50257, 50256, 50256, 1),
-('p50k_base', 50281, 50281, 50280, 1), ('p50k_edit', 50284, 50281, 50280, 4)) t(encoding, n_vocab, merge_count, ranks, specials)"""
-
-
 def special_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(e.name, n, name, i) for e in ENCODINGS.values() for n, (name, i) in enumerate(e.specials)]
     d = spark.createDataFrame(rows, "encoding string, ord long, name string, id long")
     return d.groupBy("encoding").agg(F.count(F.lit(1)).alias("names"), F.countDistinct("id").alias("ids"), F.max("id").alias("highest"), F.min_by("name", "ord").alias("first_name"))
 
 
-SPECIAL_REGISTRY_SQL = """SELECT * FROM (VALUES ('gpt2', 1::BIGINT, 1::BIGINT, 50256::BIGINT, '<|endoftext|>'), ('r50k_base', 1, 1, 50256, '<|endoftext|>'), ('p50k_base', 1, 1, 50256, '<|endoftext|>'),
-('p50k_edit', 4, 4, 50283, '<|endoftext|>'), ('cl100k_base', 5, 5, 100276, '<|endoftext|>'), ('o200k_base', 2, 2, 200018, '<|endoftext|>'),
-('o200k_harmony', 1091, 1090, 201087, '<|startoftext|>')) t(encoding, names, ids, highest, first_name)"""
-
-
 def vocab_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = tokens.vocabulary_diff(spark, Vocabulary.load("r50k_base"), Vocabulary.load("p50k_base"))
     return d.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
-VOCAB_DIFF_SQL = "SELECT * FROM (VALUES ('shared', 50256::BIGINT), ('right', 24)) t(change, n)"
-
-
 def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.cache_statistics(docs(spark, sf_dir), "gpt2")
 
 
-CACHE_STATS_SQL = f"""WITH f AS ({PIECE_FREQUENCY_SQL}), s AS (SELECT CAST(sum(n) AS BIGINT) AS pieces, CAST(sum(CASE WHEN strlen(piece) <= 64 THEN 1 ELSE n END) AS BIGINT) AS misses FROM f)
-SELECT pieces, misses, pieces - misses AS hits, (pieces - misses) / pieces::DOUBLE AS hit_rate FROM s"""
-
-
 def format_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Tokenizer.load(spark, "gpt2").encode_ordinary(docs(spark, sf_dir))
     return d.select("doc_id", *(tokens.format_ids(F.col("ids"), k).alias(k) for k in ("space", "lines", "json")))
@@ -207,9 +170,6 @@ def parse_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "n_chars").select("doc_id", F.array_join(tokens.parse_ids(text).cast("array<string>"), ",").alias("ids"))
 
 
-PARSE_IDS_SQL = "SELECT doc_id, doc_id || ',1,5,' || n_chars AS ids FROM documents"
-
-
 def budget_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Tokenizer.load(spark, "gpt2").truncate(docs(spark, sf_dir), 512)
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
@@ -231,17 +191,11 @@ def estimated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "tokens_by_lang_source": tokens_by_lang_source,
-    **{f"pretokenize_{p}": _pretokenize(p) for p in _SQL_PATTERNS},
+    **{f"pretokenize_{p}": _pretokenize(p) for p in ("gpt2", "cl100k", "o200k")},
     "piece_ends": piece_ends, "piece_frequency": piece_frequency, "segment_split": segment_split, "has_disallowed_special": has_disallowed_special,
     **{f"count_ordinary_{n}": _count(n) for n in ("gpt2", "r50k_base", "p50k_base", "p50k_edit")},
     "count_special": count_special, "encode_ordinary": encode_ordinary, "encode_allowed": encode_allowed, "decode_roundtrip": decode_roundtrip, "token_id_of": token_id_of, "token_bytes": token_bytes,
     "fits_ordinary": fits_ordinary, "truncate_ordinary": truncate_ordinary, "windows": _windows(256, 0), "windows_overlap": _windows(256, 32), "batch_offsets": batch_offsets, "pad_batch": pad_batch,
-    "pad_mask_totals": pad_mask_totals, "vocab_summary": vocab_summary, "special_registry": special_registry, "vocab_diff": vocab_diff, "cache_stats": cache_stats, "format_json": format_json, "parse_ids": parse_ids,
+    "pad_mask_totals": pad_mask_totals, "padded_at": padded_at, "encode_onto": encode_onto, "flat_batch": flat_batch, "vocab_summary": vocab_summary, "special_registry": special_registry, "vocab_diff": vocab_diff, "cache_stats": cache_stats, "format_json": format_json, "parse_ids": parse_ids,
     "budget_report": budget_report, "chunk_and_pad": chunk_and_pad, "estimated_tokens": estimated_tokens,
 }
-ORACLES = {
-    **{f"pretokenize_{p}": _pretokenize_sql(p) for p in _SQL_PATTERNS},
-    "piece_ends": PIECE_ENDS_SQL, "piece_frequency": PIECE_FREQUENCY_SQL, "segment_split": SEGMENT_SPLIT_SQL, "has_disallowed_special": HAS_DISALLOWED_SQL, "decode_roundtrip": "SELECT doc_id, text FROM documents",
-    "vocab_summary": VOCAB_SUMMARY_SQL, "special_registry": SPECIAL_REGISTRY_SQL, "vocab_diff": VOCAB_DIFF_SQL, "cache_stats": CACHE_STATS_SQL, "parse_ids": PARSE_IDS_SQL,
-    "estimated_tokens": "SELECT doc_id, CAST(strlen(text) // 3 + 16 AS BIGINT) AS estimate FROM documents",
-}
