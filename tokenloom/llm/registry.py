@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tokenloom.llm import oracles
 from tokenloom.llm import queries_basic as basic
 from tokenloom.llm import queries_models as models
 from tokenloom.llm import queries_pairs as pairs
@@ -19,4 +20,12 @@ QUERIES = {
     "op10_source_mixing": basic.op10_source_mixing,
     "language_id_pages": models.language_id_pages,
 }
-ORACLES = {"op5_chat_formatting": basic.OP5_SQL, "op8_secret_scans": basic.OP8_SQL, "op10_source_mixing": basic.OP10_SQL}
+ORACLES = {
+    "op1_suffix_array_dedup": oracles.OP1_SQL,
+    "op2_minhash_near_dedup": oracles.OP2_SQL,
+    "op5_chat_formatting": basic.OP5_SQL,
+    "op7_bpe_round_trip": oracles.OP7_SQL,
+    "op8_secret_scans": basic.OP8_SQL,
+    "op9_embedding_near_dedup": oracles.OP9_SQL,
+    "op10_source_mixing": basic.OP10_SQL,
+}
