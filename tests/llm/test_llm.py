@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, exact round trips and held-out labels, on small tables with odd rows."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -55,15 +56,19 @@ def test_suffix_dedup(docs, rows, empty):
             if first.setdefault(b[k : k + 50], i) < i:
                 gone[k : k + 50] = True
         want[i] = (len(b), int(gone.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.removed_digests(docs).collect()} == want
+    for hot in (suffix_dedup.HOT_STRINGS, 0, 3):  # each minimizer, and some, split into windows
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.removed_digests(docs, hot).collect()} == want
     assert suffix_dedup.removed_digests(empty).count() == 0
 
 
 def test_sorted_suffixes():
     s = [b"banana", b"ananas", b"a", b"nab"]
-    who, off = suffix_dedup.sorted_suffixes(s)
-    got = [s[w][o:] for w, o in zip(who, off, strict=True)]
-    assert got == sorted(x[o:] for x in s for o in range(len(x)))
+    rng = random.Random(10)
+    for strings in (s, ["".join(rng.choices("ab", k=rng.randint(1, 40))).encode() for _ in range(60)], [b"aaaa"] * 5, [bytes([255, 0]), bytes([0])]):
+        who, off, common = suffix_dedup.sorted_suffixes(strings)
+        got = [strings[w][o:] for w, o in zip(who, off, strict=True)]
+        assert got == sorted(x[o:] for x in strings for o in range(len(x)))
+        assert common.tolist() == [0, *(len(os.path.commonprefix([a, b])) for a, b in zip(got, got[1:], strict=False))]
 
 
 def test_minhash(docs, rows, empty):

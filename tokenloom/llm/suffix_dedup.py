@@ -5,17 +5,21 @@ A byte is removed if a LENGTH-byte string covers it that also starts in a docume
 1. Every LENGTH-byte window of a text has a minimizer, the GRAM-byte string in it with the least hash; equal windows have equal
    minimizers. Minimizers (40-bit hashes) that occur in one document only are dropped: a window of theirs occurs nowhere else.
 2. Maximal runs of windows with one minimizer are cut out as short strings, equal ones of a chunk of documents once with the least
-   doc_id, and dealt by the minimizer, so all equal windows meet in one bucket.
+   doc_id, and dealt by the minimizer, so all equal windows meet in one bucket. A minimizer with more than HOT_STRINGS strings
+   (distinct in their chunk) would fill a bucket: its windows are strings of their own, dealt by their own hash.
 3. A bucket sorts all suffixes of its strings by column-wise insertion: each round puts one more symbol of every string, from the
    right, into the collection's Burrows-Wheeler transform; the place of a new suffix follows from its tail's place by counting
-   symbols (LF mapping). Neighbours in the finished order with a common prefix of LENGTH bytes are equal windows; the least doc_id
-   of such a group goes back to the chunks, which mark and remove.
+   symbols (LF mapping), and its common prefixes with both neighbours are one more than the least on the way between the tails.
+   Neighbours in the finished order with a common prefix of LENGTH bytes are equal windows; the least doc_id of such a group goes
+   back to the chunks, which mark and remove.
 
 Rounds are bounded by the strings' length, at most 2 * LENGTH - GRAM bytes, whatever the documents' length. Between the steps the
-strings stand in shuffle files that are written and read in sequence; a task holds one chunk or one bucket.
+strings stand in shuffle files that are written and read in sequence; a task holds one chunk or one bucket. A row between a chunk
+and a bucket holds one string at least, so rows never outnumber strings, however many chunks and buckets there are.
 
 Defined cases: null text counts as empty; texts shorter than LENGTH keep all bytes; rows of one doc_id do not repeat each other; a
-null doc_id is larger than all others; an empty table gives an empty result; other columns are ignored.
+null doc_id is larger than all others; equal rows are all kept; a text of any length is one text, in one chunk; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.minhash import _BYTES, _powers, mix64
+from tokenloom.llm.minhash import _BYTES, _powers, mix64, range_hashes
+from tokenloom.operators.batch import stretches
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 CHUNK_BYTES = 4 << 20
 MOST_AT_ONCE = 1 << 24
 PART_STRINGS = 4000  #: strings sorted at a time, unless one minimizer has more
+HOT_STRINGS = 200_000
+HASH_BITS = 40
+HASH_MASK = np.uint64((1 << HASH_BITS) - 1)
 LAST = np.iinfo(np.int64).max
 
 
@@ -58,6 +66,18 @@ def minimizers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (least & np.uint64((1 << 24) - 1)).astype(np.int64), h
 
 
+def _hashes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of raw[begin : begin + size], from prefix sums over stretches of raw that need no large table of powers."""
+    out, step = np.zeros(len(begin), np.uint64), 1 << 17
+    most = int(size.max(initial=0))
+    for low in range(0, len(raw), step):
+        own = (begin >= low) & (begin < low + step)
+        if own.any():
+            at = begin[own] - low
+            out[own] = range_hashes(raw[low : low + step + most], at, at + size[own])
+    return out
+
+
 class Chunk:
     """The texts of a chunk, one after the other, and the runs of windows with one minimizer."""
 
@@ -99,9 +119,21 @@ class Chunk:
         count = np.bincount(run[inside], minlength=len(first))
         return first + low, count, at[first] + low, owner[first], h[at[first]]
 
+    def string_hashes(self) -> np.ndarray:
+        """64-bit hashes of the runs' strings."""
+        return _hashes(self.raw, self.first, self.count - 1 + LENGTH)
+
     def keep(self, shared: np.ndarray) -> None:
-        ok = np.isin(self.hash, shared)
+        """Keeps the runs of these minimizers; those of hot ones, marked by one more bit, are parted into single windows."""
+        ok = np.isin(self.hash, shared & HASH_MASK)
         self.first, self.count, self.gram, self.owner, self.hash = (c[ok] for c in (self.first, self.count, self.gram, self.owner, self.hash))
+        hot = np.isin(self.hash, shared[shared > HASH_MASK] & HASH_MASK)
+        if hot.any():
+            n, cold = self.count[hot], ~hot
+            first = stretches(self.first[hot], n)
+            split = (first, np.ones(len(first), np.int64), np.repeat(self.gram[hot], n), np.repeat(self.owner[hot], n), _hashes(self.raw, first, np.full(len(first), LENGTH)) >> np.uint64(64 - HASH_BITS))
+            old = (self.first, self.count, self.gram, self.owner, self.hash)
+            self.first, self.count, self.gram, self.owner, self.hash = (np.concatenate([c[cold], x]) for c, x in zip(old, split, strict=True))
 
     def strings(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Distinct strings in order of their first run; of each run: its string; of each string: least doc, minimizer's hash."""
@@ -119,8 +151,26 @@ def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
     return (mix64(hashes) % np.uint64(n)).astype(np.int64)
 
 
-def sorted_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(string, offset) of all non-empty suffixes in lexicographic order, by column-wise insertion."""
+def _least_between(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """min(values[a + 1 : b + 1]) for each pair a < b."""
+    gap = b - a
+    level = np.frexp(gap.astype(np.float64))[1] - 1  # 2**level <= gap
+    out, now = np.empty(len(a), values.dtype), values
+    for k in range(int(level.max(initial=0)) + 1):
+        own = level == k
+        if own.any():
+            out[own] = np.minimum(now[a[own] + 1], now[b[own] + 1 - (1 << k)])
+        now = np.minimum(now[: -(1 << k)], now[1 << k :])  # least of 2**(k + 1) values from here on
+    return out
+
+
+def sorted_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, offset, common prefix with the one before) of all non-empty suffixes in lexicographic order, by column-wise insertion.
+
+    In a round, the suffixes that a symbol precedes stand, with it, in their old order: those that end up beside a new one come
+    from the nearest places with the same symbol before and after its tail, so their common prefix is one more than the least
+    between these places. No other neighbours change.
+    """
     k = len(strings)
     size = np.array([len(s) for s in strings], np.int64)
     flat = np.frombuffer(b"".join(strings), np.uint8)
@@ -128,27 +178,40 @@ def sorted_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     prior = lambda s, done: flat[last[s] - done].astype(np.uint16) + 1
     live = place = np.arange(k)
     bwt = prior(live, 0)  # of the empty suffixes, by string; 0: the string is done
+    common = np.zeros(k, np.uint8)
     number = np.int32 if k < 1 << 23 else np.int64
     name = (live << 8).astype(number)  # string and length of each suffix
     done = finished = 0
     while len(live):
-        rank = np.empty(len(bwt), np.int64)
-        rank[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
-        new = rank[place] + (k - finished)
+        n = len(bwt)
+        order = np.argsort(bwt, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        own = rank[place]
+        new = own + (k - finished)
+        before, after = order[np.maximum(own - 1, 0)], order[np.minimum(own + 1, n - 1)]
+        with_before, with_after = np.zeros(len(live), np.uint8), np.zeros(len(live), np.uint8)
+        some = (own > 0) & (bwt[before] == bwt[place])
+        with_before[some] = 1 + _least_between(common, before[some], place[some])
+        some = (own < n - 1) & (bwt[after] == bwt[place])
+        with_after[some] = 1 + _least_between(common, place[some], after[some])
         done += 1
         more = size[live] > done
         symbol = np.zeros(len(live), np.uint16)
         symbol[more] = prior(live[more], done)
-        grown = np.ones(len(bwt) + len(live), bool)
+        grown = np.ones(n + len(live), bool)
         grown[new] = False
-        both, names = np.empty(len(grown), np.uint16), np.empty(len(grown), number)
+        both, names, prefixes = np.empty(len(grown), np.uint16), np.empty(len(grown), number), np.zeros(len(grown) + 1, np.uint8)
         both[grown], both[new] = bwt, symbol
         names[grown], names[new] = name, live << 8 | done
-        bwt, name = both, names
+        prefixes[:-1][grown] = common
+        prefixes[new + 1] = with_after
+        prefixes[new] = with_before
+        bwt, name, common = both, names, prefixes[:-1]
         finished += int(len(live) - more.sum())
         place, live = new[more], live[more]
     who = (name[k:] >> 8).astype(np.int64)
-    return who, size[who] - (name[k:] & 255)
+    return who, size[who] - (name[k:] & 255), common[k:]
 
 
 def equal_windows(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]:
@@ -159,30 +222,19 @@ def equal_windows(strings: list[bytes], least: np.ndarray) -> list[np.ndarray]:
 
 def window_minima(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The least docs by byte of the joined strings; of each string: where its windows begin there, and how many there are."""
-    who, off = sorted_suffixes(strings)
+    who, off, common = sorted_suffixes(strings)
     size = np.array([len(s) for s in strings], np.int64)
     begin = np.cumsum(size) - size
     full = size[who] - off >= LENGTH
-    who, off = who[full], off[full]
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    windows = np.lib.stride_tricks.sliding_window_view(flat, LENGTH)
+    who, off, new = who[full], off[full], common[full] < LENGTH
     at = begin[who] + off
-    new = np.ones(len(at), bool)
-    for a in range(1, len(at), 50_000):  # common prefixes of neighbours
-        b = min(a + 50_000, len(at))
-        new[a:b] = (windows[at[a:b]] != windows[at[a - 1 : b - 1]]).any(1)
     group = np.cumsum(new) - 1
     mins = np.minimum.reduceat(least[who], np.flatnonzero(new)) if len(at) else np.zeros(0, np.int64)
-    spread = np.full(len(flat), LAST)
+    spread = np.full(int(size.sum()), LAST)
     spread[at] = mins[group]
     return spread, begin, size - LENGTH + 1
 
 
-def stretches(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """begin[0], begin[0] + 1, ... (count[0] of them), then the same from begin[1], and so on."""
-    return np.arange(int(count.sum())) + np.repeat(begin - (np.cumsum(count) - count), count)
-
-
 def in_parts(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``window_minima``, with the strings taken by their minimizers in parts that a processor's cache holds."""
     at, h = minimizers(np.frombuffer(b"".join(strings), np.uint8))
@@ -201,12 +253,14 @@ def in_parts(strings: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.nd
 def _announce(n_buckets: int):
     def work(table: pa.Table) -> pa.Table:
         c = Chunk(table)
-        key, low, high = c.hash, c.docs[c.owner], c.docs[c.owner]
-        kinds, back = np.unique(key, return_inverse=True)
+        kinds, back = np.unique(c.hash, return_inverse=True)
         least, most = np.full(len(kinds), LAST), np.full(len(kinds), np.iinfo(np.int64).min)
-        np.minimum.at(least, back, low)
-        np.maximum.at(most, back, high)
-        flagged = kinds << np.uint64(1) | (least < most)
+        np.minimum.at(least, back, c.docs[c.owner])
+        np.maximum.at(most, back, c.docs[c.owner])
+        _, one = np.unique(c.string_hashes(), return_index=True)
+        strings = np.bincount(back[one], minlength=len(kinds))
+        power = np.frexp(np.maximum(strings, 1).astype(np.float64))[1].astype(np.uint64)  # fewer than 2**power strings
+        flagged = power << np.uint64(HASH_BITS + 1) | kinds << np.uint64(1) | (least < most)
         bucket = _buckets(kinds, n_buckets)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -223,21 +277,25 @@ def _unpack(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    chunks = table.column("chunk").to_pylist()
-    values = [_unpack(b) for b in table.column("blob").to_pylist()]
-    key = np.concatenate(values)
-    kinds, back, counts = np.unique(key >> np.uint64(1), return_inverse=True, return_counts=True)
-    flag = np.zeros(len(kinds), bool)
-    np.logical_or.at(flag, back, (key & np.uint64(1)) == 1)
-    shared = ((counts > 1) | flag)[back]
-    out, start = [], 0
-    for v in values:
-        hit = shared[start : start + len(v)]
-        out.append((v[hit] >> np.uint64(1)).tobytes())
-        start += len(v)
-    some = [i for i, b in enumerate(out) if b]
-    return pa.table({"chunk": pa.array([chunks[i] for i in some], pa.int64()), "kind": pa.array([0] * len(some), pa.int32()), "blob": pa.array([out[i] for i in some], pa.binary()), "more": pa.array([b""] * len(some), pa.binary())})
+def _answer(hot_strings: int):
+    def work(table: pa.Table) -> pa.Table:
+        chunks = table.column("chunk").to_pylist()
+        values = [_unpack(b) for b in table.column("blob").to_pylist()]
+        key = np.concatenate(values)
+        kinds, back, counts = np.unique(key >> np.uint64(1) & HASH_MASK, return_inverse=True, return_counts=True)
+        flag = np.bincount(back, (key & np.uint64(1)) == 1, len(kinds)) > 0
+        strings = np.bincount(back, np.exp2((key >> np.uint64(HASH_BITS + 1)).astype(np.float64) - 1), len(kinds))
+        told = (kinds | (strings > hot_strings).astype(np.uint64) << np.uint64(HASH_BITS))[back]
+        shared = ((counts > 1) | flag)[back]
+        out, start = [], 0
+        for v in values:
+            hit = shared[start : start + len(v)]
+            out.append(told[start : start + len(v)][hit].tobytes())
+            start += len(v)
+        some = [i for i, b in enumerate(out) if b]
+        return pa.table({"chunk": pa.array([chunks[i] for i in some], pa.int64()), "kind": pa.array([0] * len(some), pa.int32()), "blob": pa.array([out[i] for i in some], pa.binary()), "more": pa.array([b""] * len(some), pa.binary())})
+
+    return work
 
 
 def _ready(docs: pa.Table, answers: pa.Table) -> Chunk:
@@ -323,23 +381,23 @@ def _digest(docs: pa.Table, answers: pa.Table) -> pa.Table:
     return t.set_column(4, "kept_sha256", pa.array([hashlib.sha256(x).hexdigest() for x in t.column("kept").to_pylist()], pa.string()))
 
 
-def _run(docs: DataFrame, last, schema: str) -> DataFrame:
+def _run(docs: DataFrame, last, schema: str, hot_strings: int) -> DataFrame:
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
     total = raw.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     n = int(-(-total // CHUNK_BYTES)) or 1
     chunked = raw.select(F.pmod(F.xxhash64("doc_id", "raw"), F.lit(n)).alias("chunk"), "doc_id", "raw").groupBy("chunk")
     hashes = chunked.applyInArrow(_announce(-(-n // 3)), "bucket long, chunk long, blob binary")
-    shared = hashes.groupBy("bucket").applyInArrow(_answer, "chunk long, kind int, blob binary, more binary")
+    shared = hashes.groupBy("bucket").applyInArrow(_answer(hot_strings), "chunk long, kind int, blob binary, more binary")
     dealt = chunked.cogroup(shared.groupBy("chunk")).applyInArrow(_deal(n), "bucket long, chunk long, numbers binary, sizes binary, least binary, strings binary")
     matched = dealt.groupBy("bucket").applyInArrow(_match, "chunk long, kind int, blob binary, more binary")
     return chunked.cogroup(shared.unionByName(matched).groupBy("chunk")).applyInArrow(last, schema)
 
 
-def removed_digests(docs: DataFrame) -> DataFrame:
+def removed_digests(docs: DataFrame, hot_strings: int = HOT_STRINGS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    return _run(docs, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _run(docs, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", hot_strings)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_strings: int = HOT_STRINGS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for each row of docs."""
-    return _run(docs, _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _run(docs, _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", hot_strings)
