@@ -41,6 +41,7 @@ MOST_AT_ONCE = 1 << 24
 PART_STRINGS = 4000  #: strings sorted at a time, unless one minimizer has more
 HOT_STRINGS = 200_000
 HASH_BITS = 40
+WIDE = 7  #: pairs more than 2**WIDE places apart are compared by blocks of so many
 HASH_MASK = np.uint64((1 << HASH_BITS) - 1)
 LAST = np.iinfo(np.int64).max
 
@@ -153,14 +154,24 @@ def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def _least_between(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """min(values[a + 1 : b + 1]) for each pair a < b."""
-    gap = b - a
-    level = np.frexp(gap.astype(np.float64))[1] - 1  # 2**level <= gap
-    out, now = np.empty(len(a), values.dtype), values
-    for k in range(int(level.max(initial=0)) + 1):
-        own = level == k
-        if own.any():
-            out[own] = np.minimum(now[a[own] + 1], now[b[own] + 1 - (1 << k)])
-        now = np.minimum(now[: -(1 << k)], now[1 << k :])  # least of 2**(k + 1) values from here on
+    if not len(a):
+        return np.zeros(0, values.dtype)
+    level = np.frexp((b - a).astype(np.float32))[1] - 1  # 2**level <= gap
+    most, n = int(level.max()), len(values)
+    near = np.minimum(level, WIDE)
+    table = np.empty((min(most, WIDE) + 1, n), values.dtype)  # [k, i]: the least of 2**k values from i on
+    table[0] = values
+    for k in range(len(table) - 1):
+        np.minimum(table[k, : n - (1 << k)], table[k, 1 << k :], out=table[k + 1, : n - (1 << k)])
+    flat, row = table.reshape(-1), near.astype(np.int64) * n
+    out = np.minimum(flat[row + a + 1], flat[row + b + 1 - (1 << near.astype(np.int64))])
+    if most > WIDE:  # the ends are done; between them stand whole blocks
+        far = np.flatnonzero(level > WIDE)
+        first, stop = (a[far] >> WIDE) + 1, b[far] + 1 >> WIDE
+        some = first < stop
+        far, first, stop = far[some], first[some], stop[some]
+        if len(far):
+            out[far] = np.minimum(out[far], _least_between(table[WIDE, : n - (1 << WIDE) + 1 : 1 << WIDE], first - 1, stop - 1))
     return out
 
 
@@ -189,12 +200,12 @@ def sorted_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
         rank[order] = np.arange(n)
         own = rank[place]
         new = own + (k - finished)
-        before, after = order[np.maximum(own - 1, 0)], order[np.minimum(own + 1, n - 1)]
-        with_before, with_after = np.zeros(len(live), np.uint8), np.zeros(len(live), np.uint8)
-        some = (own > 0) & (bwt[before] == bwt[place])
-        with_before[some] = 1 + _least_between(common, before[some], place[some])
-        some = (own < n - 1) & (bwt[after] == bwt[place])
-        with_after[some] = 1 + _least_between(common, place[some], after[some])
+        beside = np.concatenate([order[np.maximum(own - 1, 0)], order[np.minimum(own + 1, n - 1)]])
+        tails = np.concatenate([place, place])
+        some = (beside != tails) & (bwt[beside] == bwt[tails])
+        beside, tails = beside[some], tails[some]
+        shared = np.zeros(2 * len(live), np.uint8)
+        shared[some] = 1 + _least_between(common, np.minimum(beside, tails), np.maximum(beside, tails))
         done += 1
         more = size[live] > done
         symbol = np.zeros(len(live), np.uint16)
@@ -205,8 +216,8 @@ def sorted_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
         both[grown], both[new] = bwt, symbol
         names[grown], names[new] = name, live << 8 | done
         prefixes[:-1][grown] = common
-        prefixes[new + 1] = with_after
-        prefixes[new] = with_before
+        prefixes[new + 1] = shared[len(live) :]
+        prefixes[new] = shared[: len(live)]
         bwt, name, common = both, names, prefixes[:-1]
         finished += int(len(live) - more.sum())
         place, live = new[more], live[more]
