@@ -2,15 +2,18 @@
 
 cosine >= t is distance <= r = sqrt(2 - 2t) between unit vectors. Pivots, at most MAX_PIVOTS of the vectors, part the vectors into
 cells by the nearest pivot. From the triangle inequality, a vector x of cell i can have a partner in cell j only if
-|x - p_j|^2 - |x - p_i|^2 <= 2 r |p_i - p_j|; x is replicated to those cells j < i, so each pair meets in one cell. A cell is
-joined in blocks of BLOCK vectors, one work unit for each pair of blocks, so a cell with very many vectors is many units.
-Products in single precision, less a margin, select what is computed in double precision.
+|x - p_j|^2 - |x - p_i|^2 <= 2 r |p_i - p_j| and |x - p_j| <= r + the cell's radius; x is replicated to those cells j < i, so each
+pair meets in one cell. Within a cell, vectors whose distances to its pivot differ by more than r are no partners: rings of width r
+are joined with themselves and the next one only, in blocks of some BLOCK vectors, one work unit for each pair of blocks, so a cell
+with very many vectors is many units. The units are rows, made by joining the cells' blocks; no list of them is held anywhere.
+Products in single precision, less a margin that grows with the width, select what is computed in double precision.
 
 Equal vectors are one class with a weight. Units return sums of links and a forest of stars instead of pairs.
 
 Defined cases: a vector that is null, zero or holds a null or non-finite component links with nothing, nor do vectors of other
-lengths with each other; equal rows, also of one vec_id, are vectors of their own; an empty table gives an empty result; other
-columns are ignored.
+lengths with each other; equal rows, also of one vec_id, are vectors of their own, and link with each other; a null vec_id is never
+the smallest of a group and not kept; a cosine that equals the threshold links; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +29,8 @@ from tokenloom.llm.components import UnionFind, components
 from tokenloom.llm.scratch import Scratch
 
 THRESHOLD = 0.95
-BLOCK, TILE, MAX_PIVOTS = 8192, 512, 1024
-MARGIN = 1e-5
+BLOCK, TILE, MAX_PIVOTS = 4096, 512, 1024
+MARGIN = 1e-5  #: at least; the rounding of a product of unit vectors in single precision grows with their width
 CELL_ROWS = 8192
 
 
@@ -41,9 +44,33 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def _radii(vectors: DataFrame, pivots: np.ndarray) -> np.ndarray:
+    """The largest distance of a cell's own vectors from its pivot."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far = np.full(len(pivots), -1.0)
+        for b in batches:
+            for start in range(0, b.num_rows, 2000):
+                dots = _unit(_matrix(b.column("embedding").slice(start, 2000))) @ pivots.T
+                own = dots.argmax(1)
+                np.maximum.at(far, own, _distance(dots[np.arange(len(own)), own]))
+        cells = np.flatnonzero(far >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(far[cells], pa.float64())], ["cell", "radius"])
+
+    found = vectors.select("embedding").mapInArrow(work, "cell int, radius double").groupBy("cell").agg(F.max("radius").alias("radius")).collect()  # one row for each pivot
+    out = np.zeros(len(pivots))
+    for x in found:
+        out[x.cell] = x.radius
+    return out
+
+
+def _distance(dots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * dots))
+
+
 def _cells(vectors: DataFrame, pivots: np.ndarray, r: float) -> DataFrame:
-    """cell, home (it is the vector's own), id, weight, embedding."""
-    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
+    """cell, home (it is the vector's own), ring, id, weight, embedding."""
+    apart, radii = _distance(pivots @ pivots.T), _radii(vectors, pivots)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -52,15 +79,36 @@ def _cells(vectors: DataFrame, pivots: np.ndarray, r: float) -> DataFrame:
                 dots = _unit(_matrix(part.column("embedding"))) @ pivots.T
                 own = dots.argmax(1)
                 rows = np.arange(len(own))
-                gap = 2 * (dots[rows, own][:, None] - dots)  # = |x - p_j|^2 - |x - p_i|^2
-                near = (gap <= 2 * r * apart[own] + 1e-9) & (np.arange(len(pivots)) <= own[:, None])
+                gap, far = 2 * (dots[rows, own][:, None] - dots), _distance(dots)  # gap = |x - p_j|^2 - |x - p_i|^2
+                near = (gap <= 2 * r * apart[own] + 1e-9) & (far <= radii + r + 1e-9) & (np.arange(len(pivots)) <= own[:, None])
                 near[rows, own] = True
                 at, cell = np.nonzero(near)
+                ring = np.floor(far[at, cell] / (r + 1e-9)).astype(np.int32)
                 for k in range(0, len(at), 20_000):
                     i, c = at[k : k + 20_000], cell[k : k + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(c == own[i]), *(part.column(x).take(pa.array(i)) for x in ("id", "weight", "embedding"))], ["cell", "home", "id", "weight", "embedding"])
-
-    return vectors.mapInArrow(work, "cell int, home boolean, id long, weight long, embedding array<float>")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, pa.int32()), pa.array(c == own[i]), pa.array(ring[k : k + 20_000]), *(part.column(x).take(pa.array(i)) for x in ("id", "weight", "embedding"))],
+                        ["cell", "home", "ring", "id", "weight", "embedding"],
+                    )
+
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.mapInArrow(work, f"cell int, home boolean, ring int, id long, weight long, embedding {kind}")
+
+
+def _units(placed: DataFrame) -> DataFrame:
+    """cell, home, ring, part -> unit, side, itself: which blocks of the placed vectors meet. Blocks of a cell's own vectors meet
+    each other once and all blocks of its guests, if their rings are the same or next to each other."""
+    blocks = placed.groupBy("cell", "home", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left, right = (blocks.where("home") if k == "l" else blocks for k in "lr")
+    left, right = (b.select(*(F.col(c).alias(f"{k}_{c}") for c in ("cell", "home", "ring", "part"))) for k, b in (("l", left), ("r", right)))
+    meet = (F.col("l_cell") == F.col("r_cell")) & (F.abs(F.col("l_ring") - F.col("r_ring")) <= 1)
+    later = (F.col("r_ring") > F.col("l_ring")) | ((F.col("r_ring") == F.col("l_ring")) & (F.col("r_part") >= F.col("l_part")))
+    pairs = left.join(right, meet & (~F.col("r_home") | later))
+    itself = F.col("r_home") & (F.col("r_ring") == F.col("l_ring")) & (F.col("r_part") == F.col("l_part"))
+    pairs = pairs.withColumns({"itself": itself, "unit": F.concat_ws(":", "l_cell", "l_ring", "l_part", F.col("r_home").cast("string"), "r_ring", "r_part")})
+    side = lambda k, n: F.struct(*(F.col(f"{k}_{c}").alias(c) for c in ("cell", "home", "ring", "part")), "unit", F.lit(n).alias("side"), "itself")
+    return pairs.select(F.explode(F.when(F.col("itself"), F.array(side("l", 0))).otherwise(F.array(side("l", 0), side("r", 1)))).alias("x")).select("x.*")
 
 
 class _Links:
@@ -70,7 +118,7 @@ class _Links:
         self.t = t
 
     def linked(self, a32, b32, a64, b64) -> np.ndarray:
-        near = a32 @ b32.T >= self.t - MARGIN
+        near = a32 @ b32.T >= self.t - max(MARGIN, 2.0**-22 * a32.shape[1])
         i, j = np.nonzero(near)
         if len(i) > near.size // 50:
             return near & (self.cosines(a64, b64) >= self.t)
@@ -141,35 +189,24 @@ def _unit_work(t: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding)."""
-    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "embeddings")
+    scratch = Scratch(vectors.sparkSession, "embeddings")
     e = F.col("embedding")
     fit = e.isNotNull() & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = scratch.cut(vectors.select("vec_id", F.when(fit, e.cast("array<float>")).alias("embedding")))
+    kind = "array<double>" if "double" in vectors.schema["embedding"].dataType.simpleString() else "array<float>"
+    rows = scratch.cut(vectors.select("vec_id", F.when(fit, e.cast(kind)).alias("embedding")))
     classes = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("least_id"), F.count(F.lit(1)).alias("weight"))
     classes = scratch.cut(classes.select(F.monotonically_increasing_id().alias("id"), "*", F.size("embedding").alias("width")))
     r = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     links, edges = [], []
-    for width, n in sorted((x.width, x.n) for x in classes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()):
+    for width, n in sorted((x.width, x.n) for x in classes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row for each width
         own = classes.where(F.col("width") == width)
         k = int(min(MAX_PIVOTS, max(1, -(-n // CELL_ROWS))))
         drawn = own.orderBy(F.xxhash64("embedding")).limit(k).select("embedding").collect()  # MAX_PIVOTS at most
-        pivots = _unit(np.array([x.embedding for x in drawn], np.float32))
+        pivots = _unit(np.array([x.embedding for x in drawn], np.float64))
         placed = scratch.cut(_cells(own.select("id", "weight", "embedding"), pivots, r))
-        sizes = {(x.cell, x.home): x.n for x in placed.groupBy("cell", "home").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows for each pivot at most
-        parts = {key: -(-size // BLOCK) for key, size in sizes.items()}
-        units = []  # (cell, home, part, unit, side, itself)
-        for cell in sorted({c for c, _ in sizes}):
-            homes, guests = parts.get((cell, True), 0), parts.get((cell, False), 0)
-            for a in range(homes):
-                units.append((cell, True, a, f"{cell}:{a}", 0, True))
-                for kind, others in ((True, range(a + 1, homes)), (False, range(guests))):
-                    for b in others:
-                        name = f"{cell}:{a}:{'h' if kind else 'g'}{b}"
-                        units += [(cell, True, a, name, 0, False), (cell, kind, b, name, 1, False)]
-        plan = spark.createDataFrame(units, "cell int, home boolean, part int, unit string, side int, itself boolean")
-        split = F.create_map(*(F.lit(x) for (c, h), p in parts.items() for x in (f"{c}:{h}".lower(), p)))
-        dealt = placed.withColumn("part", F.pmod(F.xxhash64("id"), split[F.concat_ws(":", F.col("cell").cast("string"), F.col("home").cast("string"))]).cast("int"))
-        dealt = dealt.join(plan, ["cell", "home", "part"]).select("unit", "side", "itself", "id", "weight", "embedding")
+        parts = placed.groupBy("cell", "home", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+        dealt = placed.join(parts, ["cell", "home", "ring"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        dealt = dealt.join(scratch.cut(_units(placed)), ["cell", "home", "ring", "part"]).select("unit", "side", "itself", "id", "weight", "embedding")
         found = scratch.cut(dealt.groupBy("unit").applyInArrow(_unit_work(threshold), "id long, links long, root long"))
         links.append(found.select("id", "links"))
         edges.append(found.where("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
