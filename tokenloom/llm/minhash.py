@@ -6,12 +6,15 @@ largest slot is below j + 1: after two or three steps for most texts. Here all e
 
 Texts with equal sets are one class. BANDS x ROWS slots make the chance to miss a pair at the threshold about 5e-8. Classes that
 share a band are verified against that class of the band first which most others share bands with. Pairs that share a band and are
-still in different components after that are all verified, unless their sizes rule the threshold out, in blocks.
+still in different components after that are all verified, unless their sizes rule the threshold out: band by band, each pair in the
+first band that it shares, a large band in blocks. A class goes to the bands in which others of another component stand, and no
+further, however bands hang together.
 
 Defined cases: null or empty text and text without words have the empty set, which links with nothing; a text with fewer than
 ``words`` words has the sequence of them as its only shingle; equal rows and rows of one doc_id are all returned; a null doc_id
-is never the smallest; an empty table gives an empty result; other columns are ignored. A doc_id may stand for several texts, and
-null for any number of them: groups are made of texts, not of ids.
+is never the smallest; a similarity that equals the threshold links; a text of any length is read whole, its set signed in parts; an
+empty table gives an empty result; other columns are ignored. A doc_id may stand for several texts, and null for any number of them:
+groups are made of texts, not of ids.
 """
 
 from __future__ import annotations
@@ -190,44 +193,52 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 def _across(crowded: DataFrame, found: DataFrame, classes: DataFrame, texts: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """Links between classes that share a band and are in different components so far: enough of them to connect what they connect.
 
-    The classes of bands with several components are parted by what those bands connect; such a part is joined in blocks of
-    UNIT_SETS classes, one work unit for each pair of blocks. Pairs are never rows: a unit returns the links that it found.
+    A band of more than UNIT_SETS classes is joined in blocks, one work unit for each pair of blocks; smaller ones are dealt
+    together to units of some UNIT_SETS classes. Pairs are never rows: a unit returns the links that it found.
     """
     c = crowded.join(found.withColumnsRenamed({"node": "class", "root": "c"}), "class", "left").select("band", "class", F.coalesce("c", "class").alias("c"))
-    mixed = c.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("class").alias("v")).where("lo <> hi").select("band", "v")
-    c = scratch.cut(c.join(mixed, "band"))
-    part = components(c.select(F.col("class").alias("u"), "v"), scratch).withColumnsRenamed({"node": "class", "root": "part"})
-    c = c.select("class", "c").distinct().join(part, "class", "left").withColumn("part", F.coalesce("part", "class"))
-    blocks = c.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / UNIT_SETS).cast("int").alias("blocks"))
-    c = c.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    mixed = c.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / UNIT_SETS).cast("int").alias("blocks")).where("lo <> hi").select("band", "blocks")
+    c = scratch.cut(c.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
+    small = -(-c.where("blocks = 1").count() // UNIT_SETS) or 1
     c = c.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    c = c.select("part", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), F.col("block").alias("own"), "class", "c")
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band"), F.lit(small))).otherwise(F.col("band"))
+    c = c.select((F.col("blocks") == 1).alias("many"), unit.alias("unit"), F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), F.col("block").alias("own"), "band", "class", "c")
     c = c.join(classes.select("class", "bands"), "class").join(texts.select("class", "text"), "class")
 
     def work(table: pa.Table) -> pa.Table:
         t = table.combine_chunks()
         name, comp, own, a, b = (t.column(x).to_pylist() for x in ("class", "c", "own", "a", "b"))
+        band = np.asarray(t.column("band"))
         itself, u, v, sets = a[0] == b[0], [], [], UnionFind()
         if itself or len(set(own)) > 1:
             bands = np.array(t.column("bands").to_pylist(), np.int64)
-            shingles = [shingle_sets([x.encode()], words)[0] for x in t.column("text").to_pylist()]
-            n, rows, left = np.array([len(x) for x in shingles]), np.arange(len(name)), np.array(own) == a[0]
+            known: dict[bytes, np.ndarray] = {}
+            for k, x in zip(name, t.column("text"), strict=True):
+                if k not in known:
+                    known[k] = shingle_sets([x.as_py().encode()], words)[0]
+            shingles = [known[k] for k in name]
+            n, left = np.array([len(x) for x in shingles]), np.array(own) == a[0]
             ids = {x: i for i, x in enumerate(sorted(set(comp)))}
             label = np.array([ids[x] for x in comp])
             part, whole = THRESHOLD
-            for i in np.flatnonzero(left).tolist():
-                may = (label != label[i]) & (np.minimum(n, n[i]) * whole >= np.maximum(n, n[i]) * part) & ((rows > i) if itself else ~left)
-                may[may] = (bands[may] == bands[i]).any(1)
-                for j in np.flatnonzero(may).tolist():
-                    if sets.find(int(label[i])) != sets.find(int(label[j])):
-                        both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
-                        if whole * both >= part * (n[i] + n[j] - both):
-                            sets.union(int(label[i]), int(label[j]))
-                            u.append(name[i])
-                            v.append(name[j])
+            order = np.argsort(band, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
+                at = int(np.flatnonzero(bands[rows[0]] == band[rows[0]])[0])  # which of a class's bands it is
+                for k, i in enumerate(rows.tolist()):
+                    if not left[i]:
+                        continue
+                    other = rows[k + 1 :] if itself else rows[~left[rows]]
+                    other = other[(label[other] != label[i]) & (np.minimum(n[other], n[i]) * whole >= np.maximum(n[other], n[i]) * part)]
+                    for j in other[(bands[other, :at] != bands[i, :at]).all(1)].tolist():  # no earlier band in common
+                        if sets.find(int(label[i])) != sets.find(int(label[j])):
+                            both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+                            if whole * both >= part * (n[i] + n[j] - both):
+                                sets.union(int(label[i]), int(label[j]))
+                                u.append(name[i])
+                                v.append(name[j])
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
-    return c.groupBy("part", "a", "b").applyInArrow(work, "u binary, v binary")
+    return c.groupBy("many", "unit", "a", "b").applyInArrow(work, "u binary, v binary")
 
 
 def grouped(docs: DataFrame, words: int, carried: list[str]) -> DataFrame:
