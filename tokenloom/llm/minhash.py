@@ -6,9 +6,10 @@ largest slot is below j + 1: after two or three steps for most texts. Here all e
 
 Texts with equal sets are one class. BANDS x ROWS slots make the chance to miss a pair at the threshold about 5e-8. Classes that
 share a band are verified against that class of the band first which most others share bands with. Pairs that share a band and are
-still in different components after that are all verified, unless their sizes rule the threshold out: band by band, each pair in the
-first band that it shares, a large band in blocks. A class goes to the bands in which others of another component stand, and no
-further, however bands hang together.
+still in different components after that are all verified, unless their sizes rule the threshold out. The component with most classes
+of a band is its main one. Its classes stand once, in blocks; those of other components that share a band with it are sent to its
+blocks until they are linked. Pairs of which neither is in the main component meet band by band, each in the first band that it
+shares. So a large group of near-copies is read once, however many bands it fills and however few others share these.
 
 Defined cases: null or empty text and text without words have the empty set, which links with nothing; a text with fewer than
 ``words`` words has the sequence of them as its only shingle; equal rows and rows of one doc_id are all returned; a null doc_id
@@ -190,55 +191,103 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return pairs.join(t("u"), "u").join(t("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(work, "u binary, v binary")
 
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    part, whole = THRESHOLD
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return whole * both >= part * (len(x) + len(y) - both)
+
+
+class _Unit:
+    """The classes of a work unit: their rows' columns, and the full sets of shingles."""
+
+    def __init__(self, table: pa.Table, words: int):
+        t = table.combine_chunks()
+        self.table, self.name, self.comp = t, t.column("class").to_pylist(), t.column("c").to_pylist()
+        self.bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+        known: dict[bytes, np.ndarray] = {}
+        for k, x in zip(self.name, t.column("text"), strict=True):
+            if k not in known:
+                known[k] = shingle_sets([x.as_py().encode()], words)[0]
+        self.sets = [known[k] for k in self.name]
+        self.n = np.array([len(x) for x in self.sets])
+
+    def alike(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others whose sizes allow a link."""
+        part, whole = THRESHOLD
+        return others[np.minimum(self.n[others], self.n[i]) * whole >= np.maximum(self.n[others], self.n[i]) * part]
+
+    def groups(self, column: str) -> list[np.ndarray]:
+        keys = {k: i for i, k in enumerate(dict.fromkeys(self.table.column(column).to_pylist()))}
+        group = np.array([keys[k] for k in self.table.column(column).to_pylist()])
+        order = np.argsort(group, kind="stable")
+        return np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
+
+    def links(self, pairs: list[tuple[int, int]]) -> pa.Table:
+        return pa.table({"u": pa.array([self.name[i] for i, _ in pairs], pa.binary()), "v": pa.array([self.name[j] for _, j in pairs], pa.binary())})
+
+
+def _in_units(rows: DataFrame, key: str, work, classes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links that work finds: rows (key, blocks, a, b, class, c, ...) of several blocks meet by key, a, b, others some UNIT_SETS together."""
+    rows = scratch.cut(rows)
+    small = -(-rows.where("blocks = 1").count() // UNIT_SETS) or 1
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(key), F.lit(small))).otherwise(F.xxhash64(key))
+    rows = rows.withColumns({"many": F.col("blocks") == 1, "unit": unit}).join(classes.select("class", "bands"), "class").join(texts.select("class", "text"), "class")
+    return rows.groupBy("many", "unit", "a", "b").applyInArrow(work, "u binary, v binary")
+
+
 def _across(crowded: DataFrame, found: DataFrame, classes: DataFrame, texts: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """Links between classes that share a band and are in different components so far: enough of them to connect what they connect.
 
-    A band of more than UNIT_SETS classes is joined in blocks, one work unit for each pair of blocks; smaller ones are dealt
-    together to units of some UNIT_SETS classes. Pairs are never rows: a unit returns the links that it found.
+    Classes meet in blocks of some UNIT_SETS. Pairs are never rows: a unit returns the links that it found.
     """
     c = crowded.join(found.withColumnsRenamed({"node": "class", "root": "c"}), "class", "left").select("band", "class", F.coalesce("c", "class").alias("c"))
-    mixed = c.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / UNIT_SETS).cast("int").alias("blocks")).where("lo <> hi").select("band", "blocks")
-    c = scratch.cut(c.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
-    small = -(-c.where("blocks = 1").count() // UNIT_SETS) or 1
-    c = c.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("band"), F.lit(small))).otherwise(F.col("band"))
-    c = c.select((F.col("blocks") == 1).alias("many"), unit.alias("unit"), F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), F.col("block").alias("own"), "band", "class", "c")
-    c = c.join(classes.select("class", "bands"), "class").join(texts.select("class", "text"), "class")
-
-    def work(table: pa.Table) -> pa.Table:
-        t = table.combine_chunks()
-        name, comp, own, a, b = (t.column(x).to_pylist() for x in ("class", "c", "own", "a", "b"))
-        band = np.asarray(t.column("band"))
-        itself, u, v, sets = a[0] == b[0], [], [], UnionFind()
-        if itself or len(set(own)) > 1:
-            bands = np.array(t.column("bands").to_pylist(), np.int64)
-            known: dict[bytes, np.ndarray] = {}
-            for k, x in zip(name, t.column("text"), strict=True):
-                if k not in known:
-                    known[k] = shingle_sets([x.as_py().encode()], words)[0]
-            shingles = [known[k] for k in name]
-            n, left = np.array([len(x) for x in shingles]), np.array(own) == a[0]
-            ids = {x: i for i, x in enumerate(sorted(set(comp)))}
-            label = np.array([ids[x] for x in comp])
-            part, whole = THRESHOLD
-            order = np.argsort(band, kind="stable")
-            for rows in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
-                at = int(np.flatnonzero(bands[rows[0]] == band[rows[0]])[0])  # which of a class's bands it is
-                for k, i in enumerate(rows.tolist()):
-                    if not left[i]:
-                        continue
-                    other = rows[k + 1 :] if itself else rows[~left[rows]]
-                    other = other[(label[other] != label[i]) & (np.minimum(n[other], n[i]) * whole >= np.maximum(n[other], n[i]) * part)]
-                    for j in other[(bands[other, :at] != bands[i, :at]).all(1)].tolist():  # no earlier band in common
-                        if sets.find(int(label[i])) != sets.find(int(label[j])):
-                            both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
-                            if whole * both >= part * (n[i] + n[j] - both):
-                                sets.union(int(label[i]), int(label[j]))
-                                u.append(name[i])
-                                v.append(name[j])
-        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
-
-    return c.groupBy("many", "unit", "a", "b").applyInArrow(work, "u binary, v binary")
+    sizes = c.groupBy("band", "c").agg(F.count(F.lit(1)).alias("many"))
+    top = sizes.groupBy("band").agg(F.max(F.struct("many", "c")).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1").select("band", F.col("top.c").alias("main"))
+    c = scratch.cut(c.join(top, "band"))
+    own, rest = c.where("c = main").select("main", "class", "c").distinct(), c.where("c <> main")
+    blocks = own.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / UNIT_SETS).cast("int").alias("blocks"))
+    own = own.join(blocks, "main").select("main", "blocks", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("a"), F.lit(True).alias("own"), "class", "c")
+    guests = rest.select("main", "class", "c").distinct().join(blocks, "main")
+    guests = guests.select("main", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), F.lit(False).alias("own"), "class", "c")
+
+    def with_main(table: pa.Table) -> pa.Table:
+        t, pairs = _Unit(table, words), []
+        home = np.asarray(t.table.column("own"))
+        for rows in t.groups("main"):
+            ours, done = rows[home[rows]], set()
+            for i in rows[~home[rows]].tolist():
+                if t.comp[i] not in done:
+                    others = t.alike(i, ours)
+                    for j in others[(t.bands[others] == t.bands[i]).any(1)].tolist():
+                        if _linked(t.sets[i], t.sets[j]):
+                            done.add(t.comp[i])
+                            pairs.append((i, j))
+                            break
+        return t.links(pairs)
+
+    links = _in_units(own.unionByName(guests).withColumn("b", F.col("a")), "main", with_main, classes, texts, scratch)
+    mixed = rest.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count(F.lit(1)) / UNIT_SETS).cast("int").alias("blocks")).where("lo <> hi").select("band", "blocks")
+    rest = rest.join(mixed, "band").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("band", "blocks", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), F.col("block").alias("own"), "class", "c")
+
+    def in_band(table: pa.Table) -> pa.Table:
+        t, pairs, sets = _Unit(table, words), [], UnionFind()
+        block, band = np.asarray(t.table.column("own")), np.asarray(t.table.column("band"))
+        a, b = t.table.column("a")[0].as_py(), t.table.column("b")[0].as_py()
+        comp = np.array(t.comp, object)
+        for rows in t.groups("band"):
+            at = int(np.flatnonzero(t.bands[rows[0]] == band[rows[0]])[0])  # which of a class's bands it is
+            for k, i in enumerate(rows.tolist()):
+                if block[i] == a:
+                    others = t.alike(i, rows[k + 1 :] if a == b else rows[block[rows] != a])
+                    others = others[comp[others] != comp[i]]
+                    for j in others[(t.bands[others, :at] != t.bands[i, :at]).all(1)].tolist():  # no earlier band in common
+                        if sets.find(comp[i]) != sets.find(comp[j]) and _linked(t.sets[i], t.sets[j]):
+                            sets.union(comp[i], comp[j])
+                            pairs.append((i, j))
+        return t.links(pairs)
+
+    return links.unionByName(_in_units(rest, "band", in_band, classes, texts, scratch))
 
 
 def grouped(docs: DataFrame, words: int, carried: list[str]) -> DataFrame:
