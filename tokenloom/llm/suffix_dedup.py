@@ -39,7 +39,7 @@ SPAN = LENGTH - GRAM + 1
 CHUNK_BYTES = 4 << 20
 MOST_AT_ONCE = 1 << 24
 PART_STRINGS = 4000  #: strings sorted at a time, unless one minimizer has more
-HOT_STRINGS = 200_000
+HOT_STRINGS, MANY_RUNS = 200_000, 8
 HASH_BITS = 40
 WIDE = 7  #: pairs more than 2**WIDE places apart are compared by blocks of so many
 HASH_MASK = np.uint64((1 << HASH_BITS) - 1)
@@ -120,10 +120,6 @@ class Chunk:
         count = np.bincount(run[inside], minlength=len(first))
         return first + low, count, at[first] + low, owner[first], h[at[first]]
 
-    def string_hashes(self) -> np.ndarray:
-        """64-bit hashes of the runs' strings."""
-        return _hashes(self.raw, self.first, self.count - 1 + LENGTH)
-
     def keep(self, shared: np.ndarray) -> None:
         """Keeps the runs of these minimizers; those of hot ones, marked by one more bit, are parted into single windows."""
         ok = np.isin(self.hash, shared & HASH_MASK)
@@ -268,8 +264,10 @@ def _announce(n_buckets: int):
         least, most = np.full(len(kinds), LAST), np.full(len(kinds), np.iinfo(np.int64).min)
         np.minimum.at(least, back, c.docs[c.owner])
         np.maximum.at(most, back, c.docs[c.owner])
-        _, one = np.unique(c.string_hashes(), return_index=True)
-        strings = np.bincount(back[one], minlength=len(kinds))
+        strings = np.bincount(back, minlength=len(kinds))
+        often = np.flatnonzero((strings >= MANY_RUNS)[back])  # equal strings count once where there can be many
+        _, one = np.unique(_hashes(c.raw, c.first[often], c.count[often] - 1 + LENGTH), return_index=True)
+        strings[strings >= MANY_RUNS] = np.bincount(back[often[one]], minlength=len(kinds))[strings >= MANY_RUNS]
         power = np.frexp(np.maximum(strings, 1).astype(np.float64))[1].astype(np.uint64)  # fewer than 2**power strings
         flagged = power << np.uint64(HASH_BITS + 1) | kinds << np.uint64(1) | (least < most)
         bucket = _buckets(kinds, n_buckets)
