@@ -65,7 +65,19 @@ def tables(spec: bytes) -> dict:
     pairs = np.array([(model["vocab"][a], model["vocab"][b], model["vocab"][a + b]) for a, b in pairs], np.int64).reshape(-1, 3)
     left, right, rank = (np.full(n, -1, np.int64) for _ in range(3))
     left[pairs[::-1, 2]], right[pairs[::-1, 2]], rank[pairs[::-1, 2]] = pairs[::-1, 0], pairs[::-1, 1], np.arange(len(pairs))[::-1]
-    return {"special": special, "token": b"".join(t or b"" for t in token), "size": np.array([-1 if t is None else len(t) for t in token], np.int32), "pairs": pairs, "left": left, "right": right, "rank": rank}
+    edges: dict[int, int] = {}  # a trie of the tokens: node and byte -> node
+    ends = {}
+    for i, t in enumerate(token):
+        node = 0
+        for b in t or b"":
+            node = edges.setdefault(node << 8 | b, len(edges) + 1)
+        ends[node] = i if t else -1
+    keys = np.array(list(edges), np.int64)
+    order, stops = np.argsort(keys), np.full(len(edges) + 1, -1, np.int64)
+    stops[list(ends)] = list(ends.values())
+    stops[0] = -1
+    trie = {"edge": keys[order], "node": np.array(list(edges.values()), np.int64)[order], "stop": stops}
+    return trie | {"special": special, "token": b"".join(t or b"" for t in token), "size": np.array([-1 if t is None else len(t) for t in token], np.int32), "pairs": pairs, "left": left, "right": right, "rank": rank}
 
 
 class Codec:
@@ -79,6 +91,9 @@ class Codec:
         numbers = list(range(n))
         self.id_of = {t["token"][e - w : e]: i for i, w, e in zip(numbers, width.tolist(), ends, strict=True) if w >= 0}
         self.left, self.right, self.rank = t["left"], t["right"], t["rank"]
+        self.edge, self.node, self.stop = t["edge"], t["node"], t["stop"]
+        self.first = np.zeros(256, np.int64)  # the nodes of single bytes
+        self.first[self.edge[self.edge < 256]] = self.node[self.edge < 256]
         pairs = t["pairs"]
         self.merges = {(numbers[a], numbers[b]): r << ID_BITS | c for r, (a, b, c) in enumerate(pairs.tolist())}
         keys = pairs[:, 0] * n + pairs[:, 1]
@@ -147,6 +162,40 @@ class Codec:
             at = to
         return out
 
+    def propose_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each): the same for many short words, which walk the trie together, a byte a step."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(size)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        word, begin, stop = np.flatnonzero(size), (ends - size)[size > 0], ends[size > 0]
+        at, node = begin + 1, self.first[raw[begin]]
+        best, best_end = self.stop[node], at
+        out: list[tuple[np.ndarray, ...]] = []
+        while len(word):
+            open_ = at < stop
+            key = node << 8 | raw[np.minimum(at, stop - 1)]
+            edge = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            goes = open_ & (self.edge[edge] == key)
+            node = np.where(goes, self.node[edge], node)
+            at = at + goes
+            token = self.stop[node]
+            longer = goes & (token >= 0)
+            best, best_end = np.where(longer, token, best), np.where(longer, at, best_end)
+            ended = np.flatnonzero(~goes)
+            if len(ended):
+                out.append((word[ended], begin[ended], best[ended]))
+                begin[ended] = best_end[ended]
+                fresh = ended[begin[ended] < stop[ended]]
+                at[fresh], node[fresh] = begin[fresh] + 1, self.first[raw[begin[fresh]]]
+                best[fresh], best_end[fresh] = self.stop[node[fresh]], at[fresh]
+                live = begin < stop
+                if not live.all():
+                    word, begin, stop, at, node, best, best_end = (x[live] for x in (word, begin, stop, at, node, best, best_end))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        word, begin, token = (np.concatenate(x) for x in zip(*out, strict=True))
+        return token[np.argsort(begin)], np.bincount(word, minlength=len(words))
+
     def exact(self, word: bytes) -> list[int]:
         """The merge loop: always the lowest rank, the leftmost of equals."""
         ids = [self.byte_id[b] for b in word]
@@ -191,9 +240,12 @@ class Codec:
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids, as little-endian bytes, of words not met before."""
         raw = [w.encode() for w in words]
-        proposed = [self.propose(b) for b in raw]
-        lengths = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((t for p in proposed for t in p), np.int64, int(lengths.sum()))
+        if max(map(len, raw), default=0) <= 4 * MEMO_WORD:
+            flat, lengths = self.propose_all(raw)
+        else:  # as many steps as the longest has bytes
+            proposed = [self.propose(b) for b in raw]
+            lengths = np.fromiter(map(len, proposed), np.int64, len(proposed))
+            flat = np.fromiter((t for p in proposed for t in p), np.int64, int(lengths.sum()))
         owner = np.repeat(np.arange(len(words)), lengths)
         bad = np.zeros(len(words), bool)
         bad[owner[~self.whole[flat]]] = True
@@ -219,7 +271,14 @@ class Codec:
     def know(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of the distinct pieces among these; words that differ in a comma share theirs."""
         kinds = list(set(pieces))
-        make = lambda new: [x for i in range(0, len(new), 50_000) for x in map(self.learn(new[i : i + 50_000]).__getitem__, new[i : i + 50_000])]
+
+        def make(new: list[str]) -> list[bytes]:
+            found: dict[str, bytes] = {}
+            for some in ([x for x in new if len(x) <= MEMO_WORD], [x for x in new if len(x) > MEMO_WORD]):
+                for i in range(0, len(some), 50_000):
+                    found |= self.learn(some[i : i + 50_000])
+            return [found[x] for x in new]
+
         return dict(zip(kinds, self.memo_pieces.look_up(kinds, np.ones(len(kinds), np.int64), make), strict=True))
 
     def words_ids(self, words: list[str]) -> list[bytes]:
@@ -234,17 +293,13 @@ class Codec:
                 out[-1].append(found[p])
         return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
-    def text_ids(self, text: str) -> bytes:
-        """Ids of a text, piece by piece, special tokens where they stand."""
-        out = []
-        for x in self.special_split.split(text) if self.special_split else [text]:
-            if x in self.special:
-                out.append(self.special[x].to_bytes(4, "little"))
-            else:
-                pieces = self.pieces(x)
-                found = self.know(pieces)
-                out += map(found.__getitem__, pieces)
-        return b"".join(out)
+    def text_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, piece by piece, special tokens where they stand."""
+        cut = [self.special_split.split(t) if self.special_split else [t] for t in texts]
+        pieces = [[[x] if x in self.special else self.pieces(x) for x in parts] for parts in cut]
+        found = self.know([p for parts in pieces for x in parts for p in x if p not in self.special])
+        found |= {s: i.to_bytes(4, "little") for s, i in self.special.items()}
+        return [b"".join(found[p] for x in parts for p in x) for parts in pieces]
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's end)."""
