@@ -102,20 +102,21 @@ class Ids:
 
 
 def encode_texts(
-    texts: pa.Array, memo: Memo, words: Callable[[list[str]], list[bytes]], text: Callable[[str], bytes], whole: Callable[[int], bytes] | None = None, apart: np.ndarray | None = None
+    texts: pa.Array, memo: Memo, words: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], uncut: Callable[[int], bytes] | None = None, apart: np.ndarray | None = None
 ) -> Ids:
-    """texts: strings without nulls. words: ids of a space and each of these words, text: ids of a text; both as little-endian 32-bit
-    numbers. ``apart`` marks texts that are not to be cut; ``whole`` gives the ids of a text that is not cut, by its index."""
+    """texts: strings without nulls. words: ids of a space and each of these words, whole: ids of these texts; both as little-endian
+    32-bit numbers. ``apart`` marks texts that are not to be cut; ``uncut`` gives the ids of a text that is not cut, by its index."""
     split = pc.split_pattern(texts, pattern=" ")
     ends = split.offsets.to_numpy().astype(np.int64)
     heads, n = ends[:-1], np.diff(ends)
     coded = split.values.dictionary_encode()
     codes, kinds = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    bare, right = pc.utf8_ltrim_whitespace(coded.dictionary), pc.utf8_rtrim_whitespace(coded.dictionary)
     owner = np.repeat(np.arange(len(n)), n)
     head = np.zeros(len(codes), bool)
     head[heads] = True
-    closed = np.fromiter((not w or w[-1].isspace() for w in kinds), bool, len(kinds))
-    edged = closed | np.fromiter((bool(w) and w[0].isspace() for w in kinds), bool, len(kinds))
+    closed = pc.or_(pc.equal(coded.dictionary, ""), pc.not_equal(right, coded.dictionary)).to_numpy(zero_copy_only=False)
+    edged = closed | pc.not_equal(bare, coded.dictionary).to_numpy(zero_copy_only=False)
     cut = n > 1
     if apart is not None:
         cut &= ~apart
@@ -130,9 +131,9 @@ def encode_texts(
     entry[rest] = place[codes[rest]]
     first = np.unique(codes[heads[cut]])
     place[first] = len(known) + np.arange(len(first))
-    known += [text(kinds[k]) for k in first.tolist()]
+    known += whole([kinds[k] for k in first.tolist()])
     entry[heads[cut]] = place[codes[heads[cut]]]
-    uncut = np.flatnonzero(~cut)
-    entry[heads[uncut]] = len(known) + np.arange(len(uncut))
-    known += [whole(i) if whole else text(texts[i].as_py()) for i in uncut.tolist()]
+    rows = np.flatnonzero(~cut)
+    entry[heads[rows]] = len(known) + np.arange(len(rows))
+    known += [uncut(i) for i in rows.tolist()] if uncut else whole(texts.take(pa.array(rows)).to_pylist())
     return Ids(known, entry[rest | head], np.where(cut, n, 1))

@@ -105,8 +105,8 @@ class Kernel:
                 out[-1].append(ids)
         return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
-    def encode_texts(self, texts: pa.Array, whole: Callable[[int], bytes] | None = None, apart: np.ndarray | None = None) -> Ids:
-        return encode_texts(texts, self.memo, self.words, self.encode, whole, apart)
+    def encode_texts(self, texts: pa.Array, uncut: Callable[[int], bytes] | None = None, apart: np.ndarray | None = None) -> Ids:
+        return encode_texts(texts, self.memo, self.words, lambda some: [self.encode(t) for t in some], uncut, apart)
 
     def piece_counts(self, text: str) -> tuple[list[int], list[int]]:
         """(exclusive end of each piece in bytes, its number of tokens)."""
