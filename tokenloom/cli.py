@@ -1,4 +1,4 @@
-"""Command line: count, encode, decode, vocab. Exit codes: 0 done, 1 failed, 2 wrong usage."""
+"""Command line: count, encode, decode, vocab, completions. Exit codes: 0 done, 1 failed, 2 wrong usage."""
 
 from __future__ import annotations
 
@@ -29,9 +29,32 @@ def parser() -> argparse.ArgumentParser:
             which.add_argument("--strict-special", action="store_true")
         if name == "encode":
             s.add_argument("--format", default="space", choices=("space", "lines", "json"))
+    s = sub.add_parser("completions")
+    s.add_argument("shell", choices=SHELLS)
     return p
 
 
+SHELLS = ("bash", "zsh", "fish")
+
+
+def completions(shell: str) -> str:
+    """A completion script, derived from the parser."""
+    commands = next(a for a in parser()._actions if isinstance(a, argparse._SubParsersAction)).choices
+    options = {name: [(a.option_strings[-1], [str(c) for c in a.choices or ()]) for a in c._actions if a.option_strings] for name, c in commands.items()}
+    if shell == "fish":
+        lines = [f"complete -c tokenloom -f -n __fish_use_subcommand -a {name}" for name in commands]
+        for name, known in options.items():
+            lines += [f"complete -c tokenloom -n '__fish_seen_subcommand_from {name}' -l {o[2:]}" + (f" -x -a '{' '.join(values)}'" if values else "") for o, values in known if o.startswith("--")]
+        return "\n".join(lines) + "\n"
+    cases = "".join(f"        {o}) COMPREPLY=($(compgen -W '{' '.join(values)}' -- \"$cur\")); return;;\n" for o, values in sorted({(o, tuple(v)) for known in options.values() for o, v in known if v}))
+    words = "".join(f"        {name}) COMPREPLY=($(compgen -W '{' '.join(o for o, _ in known)}' -- \"$cur\")); return;;\n" for name, known in options.items())
+    script = (
+        "_tokenloom() {\n    local cur=${COMP_WORDS[COMP_CWORD]} before=${COMP_WORDS[COMP_CWORD-1]}\n    case $before in\n" + cases + "    esac\n    case ${COMP_WORDS[1]} in\n" + words
+        + f"    esac\n    COMPREPLY=($(compgen -W '{' '.join(commands)}' -- \"$cur\"))\n}}\ncomplete -o default -F _tokenloom tokenloom\n"
+    )
+    return ("autoload -U +X bashcompinit && bashcompinit\n" if shell == "zsh" else "") + script
+
+
 def _input(args, stdin) -> bytes:
     if args.input is not None:
         return args.input.encode("utf-8", "surrogateescape")
@@ -59,6 +82,9 @@ def _ids(args, v: Vocabulary, raw: bytes) -> list[int]:
 
 def main(argv: list[str] | None = None, stdin=sys.stdin, stdout=sys.stdout) -> int:
     args = parser().parse_args(argv)
+    if args.command == "completions":
+        stdout.write(completions(args.shell))
+        return 0
     try:
         v = Vocabulary.load(args.encoding, args.vocabulary)
         if args.command == "vocab":

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+from tokenloom.errors import SpecialTokenError
+
+# Names and ids of special tokens, here and below.
 END_OF_TEXT = ("<|endoftext|>", 50256)
 _FIM = ("<|fim_prefix|>", "<|fim_middle|>", "<|fim_suffix|>")
 
@@ -18,6 +22,57 @@ def _harmony() -> tuple[tuple[str, int], ...]:
     return named + tuple((f"<|reserved_{i}|>", i) for i in range(200000, 201088) if i not in taken)
 
 
+class Registry:
+    """Special tokens in the order of their addition: names are unique, ids need not be; the first name of an id decodes it."""
+
+    def __init__(self, pairs: Iterable[tuple[str, int]] = ()):
+        self.names: list[str] = []
+        self.ids: list[int] = []
+        self._index: dict[str, int] = {}
+        for name, i in pairs:
+            self.add(name, i)
+
+    def add(self, name: str, i: int) -> None:
+        if not name:
+            raise SpecialTokenError("a special token needs a name")
+        if i < 0:
+            raise SpecialTokenError(f"the id {i} of {name!r} is negative")
+        if name in self._index:
+            raise SpecialTokenError(f"the special token {name!r} is there already")
+        self._index[name] = len(self.names)
+        self.names.append(name)
+        self.ids.append(i)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __contains__(self, name: str) -> bool:
+        return name in self._index
+
+    def id_of(self, name: str) -> int:
+        if name not in self._index:
+            raise SpecialTokenError(f"unknown special token {name!r}")
+        return self.ids[self._index[name]]
+
+    def index_of_id(self, i: int) -> int:
+        """The place of the first token with this id, -1 if there is none."""
+        return self.ids.index(i) if i in self.ids else -1
+
+    def name_at(self, index: int) -> str:
+        if not 0 <= index < len(self.names):
+            raise SpecialTokenError(f"place {index} is outside of 0..{len(self.names) - 1}")
+        return self.names[index]
+
+    def id_at(self, index: int) -> int:
+        self.name_at(index)
+        return self.ids[index]
+
+    @property
+    def highest_id(self) -> int:
+        """-1 if there is no token."""
+        return max(self.ids, default=-1)
+
+
 @dataclass(frozen=True)
 class Encoding:
     name: str
@@ -25,6 +80,12 @@ class Encoding:
     pattern: str
     specials: tuple[tuple[str, int], ...]
 
+    def __post_init__(self):
+        Registry(self.specials)
+
+    def registry(self) -> Registry:
+        return Registry(self.specials)
+
     def special_ids(self) -> dict[str, int]:
         return dict(self.specials)
 

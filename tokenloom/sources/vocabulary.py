@@ -125,7 +125,7 @@ def read_ranks(spark: SparkSession, path: str) -> DataFrame:
     """id, token of a vocabulary file, with the same checks as parse_ranks, as a DataFrame from any path that Spark reads."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     parts = F.split(F.trim("value"), r"\s+")
-    rows = lines.select(F.size(parts).alias("fields"), F.expr("try_to_binary(split(trim(value), '\\\\s+')[0], 'base64')").alias("token"), F.expr("try_cast(split(trim(value), '\\\\s+')[1] AS int)").alias("id"))
+    rows = lines.select(F.size(parts).alias("fields"), F.expr("try_to_binary(split(trim(value), '\\\\s+')[0], 'base64')").alias("token"), F.expr("try_cast(get(split(trim(value), '\\\\s+'), 1) AS int)").alias("id"))
     checks = rows.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("fields") != 2).alias("fields"), F.count_if(F.col("token").isNull()).alias("token"),
         F.count_if(F.col("id").isNull()).alias("rank"), F.count_if(F.col("id") < 0).alias("negative"), F.countDistinct("id").alias("ids"),
