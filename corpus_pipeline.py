@@ -18,18 +18,21 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm import bpe_codec, language_id, minhash, mixing, secrets
 from tokenloom.llm.queries_basic import BPE_FILE
-from tokenloom.llm.scratch import Scratch, collected
+from tokenloom.llm.scratch import BATCH, BATCH_ROWS, Scratch, collected
 
 _made: list[Scratch] = []
 
 
 def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The stage, after removing the intermediate tables of the one before: its result is written when the next one begins."""
+    """The stage, after removing the intermediate tables of the one before: its result is written when the next one begins. Rows hold
+    whole texts, so the session's Arrow batches are made small (BATCH_ROWS): a stage's last step runs when its result is written."""
 
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         while _made:
             if (old := _made.pop()).spark.sparkContext.applicationId == spark.sparkContext.applicationId:
                 old.clear()
+        if not 0 < int(spark.conf.get(BATCH)) <= BATCH_ROWS:
+            spark.conf.set(BATCH, str(BATCH_ROWS))
         with collected() as made:
             out = work(spark, docs, sf_dir)
         _made.extend(made)

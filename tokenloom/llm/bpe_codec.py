@@ -23,12 +23,13 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from tokenloom.llm import caches
 from tokenloom.operators.batch import Memo, encode_texts, groups, stretches
 
 #: The split pattern of byte-level tokenizers of this family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Of words and of pieces, of at most MEMO_WORD characters; some 170 bytes each with their ids, so some 34 MB for a worker.
-MEMO_ENTRIES, MEMO_WORD = 100_000, 64
+#: Of words and of pieces, of at most MEMO_WORD characters; some 170 bytes each with their ids, so some 27 MB for a worker.
+MEMO_ENTRIES, MEMO_WORD = 80_000, 64
 LEAST_TIMES = 2  #: a word that occurs once in a group of texts is not remembered
 ID_BITS = 24  #: of a merge's value: its rank above, the token that it makes below
 LOW_BITS = (1 << ID_BITS) - 1
@@ -325,14 +326,14 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec_of(key: str, packed: dict) -> Codec:
-    """One codec per Python worker and file, with its memos, which are bounded; its tasks share it."""
+    """One codec per Python worker and file, with its memos, which are bounded; its tasks share it, until other work begins there."""
     if key not in _codecs:
         _codecs[key] = Codec(packed)
     return _codecs[key]
 
 
 #: Bytes of text that are encoded together.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 
 
 def _listed(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -349,6 +350,7 @@ def _map(df: DataFrame, text_col: str, path: str, extra: str, names: list[str],
     kept = [c for c in df.columns if not (drop and c == text_col)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.enter("bpe", _codecs.clear)
         codec = codec_of(key, shared.value)
         for b in batches:
             start = 0

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm import caches
 from tokenloom.llm.scratch import Scratch
 
 BUCKETS = 1 << 14
@@ -77,6 +78,7 @@ class TextModel:
         sample = d.where(F.col("label").isNotNull() & F.col("text").isNotNull() & drawn).select("label", "text")
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            caches.enter("language", lambda: None)
             sums: dict[str, np.ndarray] = {}
             for b in batches:
                 labels = b.column("label").to_pylist()
@@ -111,6 +113,7 @@ def text_evidence(docs: DataFrame, model: TextModel, text_col: str, into: str, c
     flat = -np.log(BUCKETS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.enter("language", lambda: None)
         for b in batches:
             for start, texts in _groups(b.column(text_col)):
                 part = b.select([*carried, into]).slice(start, len(texts))

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.llm import caches
 from tokenloom.llm.components import UnionFind, components
 from tokenloom.llm.scratch import Scratch
 
@@ -154,6 +155,7 @@ def signed(docs: DataFrame, words: int, carried: list[str]) -> DataFrame:
     docs = docs.withColumn("digest", _digest())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        caches.enter("minhash", _powers.cache_clear)
         for b in batches:
             for start, texts in _blocks(b.column("text")):
                 sets = shingle_sets(texts, words)

@@ -30,20 +30,20 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 #: Rows of an Arrow batch. Rows hold whole texts, so batches of 10000, the default, take much memory on either side.
 BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @contextmanager
 def _batches_of_whole_texts(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_BATCH)
+    before = spark.conf.get(BATCH)
     if 0 < int(before) <= BATCH_ROWS:
         yield
         return
-    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    spark.conf.set(BATCH, str(BATCH_ROWS))
     try:
         yield
     finally:
-        spark.conf.set(_BATCH, before)
+        spark.conf.set(BATCH, before)
 
 
 _collectors: list[list[Scratch]] = []
